@@ -63,7 +63,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_committed, p3_found, p4_found, p5_found, p5_triples, p6_found)}
 
 _UNION = """
-  {name}_b as (select *, max(hi) over (partition by doc_id, peer order by lo, hi rows between unbounded preceding and 1 preceding) as reach from {src} where hi > lo),
+  {name}_b as (select *, max(hi) over (partition by doc_id, peer order by lo, hi rows between unbounded preceding and 1 preceding) as reach from (select distinct doc_id, peer, lo, hi from {src} where hi > lo)),
   {name}_g as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by doc_id, peer order by lo, hi rows unbounded preceding) as grp from {name}_b),
   {name} as (select doc_id, peer, min(lo) as lo, max(hi) as hi from {name}_g group by doc_id, peer, grp)"""
 
