@@ -164,9 +164,9 @@ def _sales_sql(deleted: int | None) -> str:
     gone = f"nk = {deleted}" if deleted is not None else "false"
     return f"""with {_SALES},
   kids as (select up, count(*) as k from cust group by up)
-select r_regionkey || '@1' as node_id, 'live' as fate, 0 as node_depth, (select count(*) + coalesce(sum(k), 0) from nat left join kids on kids.up = nat.id where nat.up = r_regionkey || '@1' and not ({gone})) as n_below, r_regionkey || '@1' as node_path from region
+select node_id, fate, cast(node_depth as bigint) as node_depth, cast(n_below as bigint) as n_below, node_path from (select r_regionkey || '@1' as node_id, 'live' as fate, 0 as node_depth, (select count(*) + coalesce(sum(k), 0) from nat left join kids on kids.up = nat.id where nat.up = r_regionkey || '@1' and not ({gone})) as n_below, r_regionkey || '@1' as node_path from region
 union all select id, case when {gone} then 'deleted' else 'live' end, case when {gone} then 0 else 1 end, coalesce(k, 0), case when {gone} then id else nat.up || '/' || id end from nat left join kids on kids.up = nat.id
-union all select cust.id, case when {gone} then 'deleted' else 'live' end, case when {gone} then 1 else 2 end, 0, case when {gone} then nat.id else nat.up || '/' || nat.id end || '/' || cust.id from cust join nat on nat.id = cust.up"""
+union all select cust.id, case when {gone} then 'deleted' else 'live' end, case when {gone} then 1 else 2 end, 0, case when {gone} then nat.id else nat.up || '/' || nat.id end || '/' || cust.id from cust join nat on nat.id = cust.up)"""
 
 
 ORACLES = {
