@@ -11,7 +11,7 @@ from tidelog.operators import assemble, changefeed, hierarchy, log, lww, sequenc
 from tidelog.plans import derive
 from tidelog.plans.storage import cut, session_dir
 from tidelog.plans.tables import table
-from tidelog.sources import rooms
+from tidelog.sources import binary_log, rooms
 from tidelog.streaming import replay
 
 
@@ -150,6 +150,13 @@ def q21_version_codec(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", F.explode("vv").alias("peer", "end"))
 
 
+def q22_binary_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A log written as a blob per document and read again."""
+    blobs = cut(binary_log.write(*derive.nested_orders(spark, d)), "blobs")
+    _, ops, _ = binary_log.read(blobs)
+    return ops.select("doc_id", "counter", "lamport", "container", "map_key", "val_json")
+
+
 QUERIES = {n: f for n, f in sorted(globals().items()) if n[0] == "q" and n[1:3].isdigit()}
 
 _EV = "select *, user_id % 16 as doc, row_number() over (partition by user_id % 16 order by ts, event_id) - 1 as n from events"
@@ -215,5 +222,9 @@ select cast(o_custkey as varchar) as doc_id, cast(run as bigint) as run, string_
 select r.doc_id, r.peer, r.counter as change_counter, n.p as seen_peer, max(n.c) + 1 as seen_end from reach r join need n on n.doc_id = r.doc_id and n.peer = r.tp and n.counter = r.tc group by r.doc_id, r.peer, r.counter, n.p""",
     "q19_replay_status": """with e as (select event_id, event_type, case when json_valid(content_json) then json_extract_string(content_json, '$.format') end as f, case when json_valid(content_json) then json_extract_string(content_json, '$.payload') end as p from room_events)
 select case when not coalesce(event_type like 'dev.%.update', false) then 'foreign_type' when f is null then 'broken' when f not like '%-fast-updates-v1' then 'foreign_format' when not coalesce(regexp_full_match(p, '[A-Za-z0-9+/]*={0,2}') and length(p) % 4 = 0, false) then 'broken' else 'ok' end as status, count(*) as events, count(distinct event_id) as ids from e group by status""",
+    "q22_binary_round_trip": """with o as (select *, (row_number() over (partition by o_custkey order by o_orderkey) - 1) * 3 as n from orders)
+select cast(o_custkey as varchar) as doc_id, n as counter, n as lamport, 'cid:root-m:Map' as container, cast(o_orderkey as varchar) as map_key, '"🦜:cid:' || n || '@1:Map"' as val_json from o
+union all select cast(o_custkey as varchar), n + 1, n + 1, 'cid:' || n || '@1:Map', 'priority', '"' || o_orderpriority || '"' from o
+union all select cast(o_custkey as varchar), n + 2, n + 2, 'cid:' || n || '@1:Map', 'status', '"' || o_orderstatus || '"' from o""",
     "q21_version_codec": 'select doc_id, peer, max(end_counter) as "end" from changes group by doc_id, peer',
 }
