@@ -31,7 +31,7 @@ class Node:
 
     def __init__(self, peer, num, counter, left, right, value, anchor=None, elem=None):
         self.peer, self.num, self.counter, self.left, self.right, self.value = peer, num, counter, left, right, value
-        self.anchor, self.elem = anchor, elem  # anchor: None, or (is it a start, key, value, writer)
+        self.anchor, self.elem = anchor, elem  # anchor: None, or (is it a start, key, value, writer, place of the end, info)
         self.gone: list[tuple[str, int]] = []
         self.chunk: Chunk | None = None
 
@@ -59,6 +59,7 @@ class Sequence:
         self.chunks: list[Chunk] = [Chunk([])]
         self.ids: dict[tuple[str, int], Node] = {}
         self.seen: dict[str, int] = {}  # everything replayed so far
+        self.taken: dict[str, list[tuple[int, int]]] = {}  # and which ids of it
         self.count = 0
         self.movable = movable
         # element of a MovableList -> [writer of its place, its node, writer of its value, value, id of that op]
@@ -181,76 +182,81 @@ class Sequence:
         n.gone.append((peer, counter))
 
 
+def apply(seq: Sequence, r: dict, kind: str) -> None:
+    """Replays one op; ``past`` is what its author had seen of others."""
+    peer, num, counter = r["peer"], int(r["peer"]), r["counter"]
+    what = SPELLINGS.get((kind, r["vkind"]), r["vkind"])
+    skip = 0  # ids of this op that were delivered before, in a row from its start
+    for lo, hi in seq.taken.get(peer, ()):
+        if lo <= counter + skip < hi:
+            skip = hi - counter
+    n = max(r["len"] or 1, 1)
+    if skip >= n:
+        return
+    seq.taken.setdefault(peer, []).append((counter + skip, counter + n))
+    past = Past(dict(r["past"] or ()))
+    past[peer] = max(past.get(peer, 0), counter + skip)
+    pos = (r["pos"] or 0) + (skip if what == "insert" else 0)
+    writer = (r["lamport"], num)
+    if what == "insert":
+        value = json.loads(r["val_json"]) if r["val_json"] is not None else ""
+        items = list(value)[skip:] if isinstance(value, (str, list)) else [value]
+        elems = [(r["lamport"] + skip + j, peer) for j in range(len(items))] if seq.movable else None
+        made = seq.insert(pos, items, peer, num, counter + skip, past, elems=elems)
+        for m in made if seq.movable else ():
+            place = (m.elem[0], num)
+            known = seq.elems.setdefault(m.elem, [None, None, None, None, None])
+            if known[0] is None or place > known[0]:
+                known[0], known[1] = place, m
+            if known[2] is None or place > known[2]:
+                known[2], known[3], known[4] = place, m.value, (peer, m.counter)
+    elif what == "delete":
+        if r["del_start"]:
+            c, _, p = r["del_start"].partition("@")
+            span = r["del_len"] or 0
+            for k in range(abs(span)):  # a delete that ran backwards took the last id first
+                node = seq.ids.get((p, int(c) + (k if span > 0 else -span - 1 - k)))
+                if node is not None:
+                    seq.drop(node, peer, counter + k)
+        else:
+            length = r["del_len"] if r["del_len"] is not None else n
+            first = pos if length >= 0 else pos + length + 1
+            for _ in range(abs(length)):
+                node = seq.at(first, past)
+                if node is None:
+                    break
+                seq.drop(node, peer, counter)
+                past[peer] = counter + 1
+    elif what == "mark":
+        seq.insert(pos, [None], peer, num, counter, past, anchor=(True, r["mark_key"], r["val_json"], writer, pos + (r["mark_len"] or 0) + 1, r.get("mark_info")))
+    elif what == "mark_end":
+        start = seq.ids.get((peer, counter - 1))
+        if start is not None and start.anchor:
+            seq.insert(start.anchor[4], [None], peer, num, counter, past, anchor=(False, *start.anchor[1:]))
+    elif what == "set" and r["elem"]:
+        lam, _, p = r["elem"].partition("@")
+        known = seq.elems.setdefault((int(lam), p), [None, None, None, None, None])
+        if known[2] is None or writer > known[2]:
+            known[2], known[3], known[4] = writer, json.loads(r["val_json"]), (peer, counter)
+    elif what == "move" and r["elem"]:
+        lam, _, p = r["elem"].partition("@")
+        known = seq.elems.get((int(lam), p))
+        source = seq.at(r["move_from"], past) if r["move_from"] is not None else known and known[1]
+        if source is not None:
+            seq.drop(source, peer, counter)
+        past[peer] = counter + 1
+        made = seq.insert(pos, [None], peer, num, counter, past, elems=[(int(lam), p)])
+        known = seq.elems.setdefault((int(lam), p), [None, None, None, None, None])
+        if known[0] is None or writer > known[0]:
+            known[0], known[1] = writer, made[0]
+    seq.seen[peer] = max(seq.seen.get(peer, 0), counter + n)
+
+
 def _replay(rows: list[dict]) -> Iterator[tuple]:
     kind = rows[0]["container"].rpartition(":")[2]
     seq = Sequence(kind == "MovableList")
-    taken: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
-        peer, num, counter = r["peer"], int(r["peer"]), r["counter"]
-        what = SPELLINGS.get((kind, r["vkind"]), r["vkind"])
-        skip = 0  # ids of this op that were delivered before, in a row from its start
-        for lo, hi in taken.get(peer, ()):
-            if lo <= counter + skip < hi:
-                skip = hi - counter
-        n = max(r["len"] or 1, 1)
-        if skip >= n:
-            continue
-        taken.setdefault(peer, []).append((counter + skip, counter + n))
-        past = Past(dict(r["past"] or ()))
-        past[peer] = max(past.get(peer, 0), counter + skip)
-        pos = (r["pos"] or 0) + (skip if what == "insert" else 0)
-        writer = (r["lamport"], num)
-        if what == "insert":
-            value = json.loads(r["val_json"]) if r["val_json"] is not None else ""
-            items = list(value)[skip:] if isinstance(value, (str, list)) else [value]
-            elems = [(r["lamport"] + skip + j, peer) for j in range(len(items))] if seq.movable else None
-            made = seq.insert(pos, items, peer, num, counter + skip, past, elems=elems)
-            for m in made if seq.movable else ():
-                place = (m.elem[0], num)
-                known = seq.elems.setdefault(m.elem, [None, None, None, None, None])
-                if known[0] is None or place > known[0]:
-                    known[0], known[1] = place, m
-                if known[2] is None or place > known[2]:
-                    known[2], known[3], known[4] = place, m.value, (peer, m.counter)
-        elif what == "delete":
-            if r["del_start"]:
-                c, _, p = r["del_start"].partition("@")
-                for x in range(int(c), int(c) + abs(r["del_len"] or 0)):
-                    node = seq.ids.get((p, x))
-                    if node is not None:
-                        seq.drop(node, peer, counter + n - 1)
-            else:
-                length = r["del_len"] if r["del_len"] is not None else n
-                first = pos if length >= 0 else pos + length + 1
-                for _ in range(abs(length)):
-                    node = seq.at(first, past)
-                    if node is None:
-                        break
-                    seq.drop(node, peer, counter)
-                    past[peer] = counter + 1
-        elif what == "mark":
-            seq.insert(pos, [None], peer, num, counter, past, anchor=(True, r["mark_key"], r["val_json"], writer, pos + (r["mark_len"] or 0) + 1))
-        elif what == "mark_end":
-            start = seq.ids.get((peer, counter - 1))
-            if start is not None and start.anchor:
-                seq.insert(start.anchor[4], [None], peer, num, counter, past, anchor=(False, *start.anchor[1:]))
-        elif what == "set" and r["elem"]:
-            lam, _, p = r["elem"].partition("@")
-            known = seq.elems.setdefault((int(lam), p), [None, None, None, None, None])
-            if known[2] is None or writer > known[2]:
-                known[2], known[3], known[4] = writer, json.loads(r["val_json"]), (peer, counter)
-        elif what == "move" and r["elem"]:
-            lam, _, p = r["elem"].partition("@")
-            known = seq.elems.get((int(lam), p))
-            source = seq.at(r["move_from"], past) if r["move_from"] is not None else known and known[1]
-            if source is not None:
-                seq.drop(source, peer, counter)
-            past[peer] = counter + 1
-            made = seq.insert(pos, [None], peer, num, counter, past, elems=[(int(lam), p)])
-            known = seq.elems.setdefault((int(lam), p), [None, None, None, None, None])
-            if known[0] is None or writer > known[0]:
-                known[0], known[1] = writer, made[0]
-        seq.seen[peer] = max(seq.seen.get(peer, 0), counter + n)
+        apply(seq, r, kind)
     yield from _emit(rows[0], seq)
 
 
@@ -261,7 +267,7 @@ def _emit(first: dict, seq: Sequence) -> Iterator[tuple]:
     for i, n in enumerate(seq):
         mark = None
         if n.anchor:
-            start, key, value, writer, _ = n.anchor
+            start, key, value, writer, *_ = n.anchor
             mark = f"{'start' if start else 'end'}:{key}"
             own = (n.peer, n.counter if start else n.counter - 1)
             if not n.gone:
