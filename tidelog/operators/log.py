@@ -136,3 +136,56 @@ def past_versions(changes: DataFrame) -> DataFrame:
 
     got = per_group(_changes_once(changes), ["doc_id"], ["lamport", "_p", "counter"], work, "doc_id string, peer string, change_counter bigint, past array<struct<p:string,end:bigint>>")
     return got.withColumn("past", F.map_from_entries("past"))
+
+
+def merge_adjacent(changes: DataFrame, interval: int = 1000) -> DataFrame:
+    """(doc_id, peer, counter, end_counter, lamport, ts, parts): changes as a store keeps them.
+
+    A change joins the one before it if it follows on it in ids and lamport, depends on nothing but its last op, says
+    the same message and is at most ``interval`` seconds younger. Repeated changes count once.
+    """
+    one = changes.groupBy(*WRITER, "counter").agg(F.max_by(F.struct("end_counter", "lamport", "ts", "deps", F.coalesce("msg", F.lit("")).alias("msg")), F.struct("end_counter", F.coalesce("msg", F.lit("")), "ts")).alias("c")).select(*WRITER, "counter", "c.*")
+    w = Window.partitionBy(*WRITER).orderBy("counter")
+    before = lambda c: F.lag(c).over(w)
+    joins = (
+        (before("end_counter") == F.col("counter"))
+        & (before("lamport") + F.col("counter") - before("counter") == F.col("lamport"))
+        & (F.size("deps") == 1)
+        & (F.col("deps")[0] == op_id(F.col("counter") - 1, F.col("peer")))
+        & (before("msg") == F.col("msg"))
+        & (F.col("ts") - before("ts") <= interval)
+    )
+    grouped = one.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
+    got = grouped.groupBy(*WRITER, "_g").agg(F.min("counter").alias("counter"), F.max("end_counter").alias("end_counter"), F.min("lamport").alias("lamport"), F.min_by("ts", "counter").alias("ts"), F.count("*").alias("parts"))
+    return got.drop("_g")
+
+
+def violations(ops: DataFrame) -> DataFrame:
+    """``ops`` that no log may hold, with ``reason``, the first rule each breaks. Rows that break none are left out."""
+    kind = container_kind(F.col("container"))
+    allowed = F.create_map(*[F.lit(x) for k, v in _ALLOWED.items() for x in (k, v)])
+    rules = [
+        ("id", F.col("doc_id").isNull() | F.col("peer").isNull() | peer_number(F.col("peer")).isNull() | F.col("counter").isNull() | (F.col("counter") < 0) | (F.col("counter") + atoms(F.col("len")) > (1 << 31) - 1)),
+        ("lamport", F.col("lamport").isNull() | (F.col("lamport") < 0) | (F.col("lamport") >= 1 << 32)),
+        ("container", F.col("container").isNull() | ~F.col("container").startswith("cid:") | F.try_element_at(allowed, kind).isNull()),
+        ("kind", ~F.coalesce(F.array_contains(F.split(F.try_element_at(allowed, kind), " "), F.col("vkind")), F.lit(False))),
+        ("length", F.coalesce(F.col("len"), F.lit(0)) < 1),
+        ("key", (kind == "Map") & F.col("map_key").isNull()),
+        ("position", kind.isin("Text", "List", "MovableList") & F.col("pos").isNotNull() & ((F.col("pos") < 0) | (F.col("pos") > 1073741822))),
+        ("span", F.col("del_start").isNotNull() & (F.abs("del_len") != F.col("len"))),
+        ("target", (kind == "Tree") & F.col("tree_target").isNull()),
+        ("value", F.col("vkind").isin("insert", "set", "counter", "LoroValue", "Str", "ListSet", "F64") & F.col("val_json").isNull()),
+    ]
+    reason = F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules])
+    return ops.withColumn("reason", reason).filter("reason is not null")
+
+
+#: The op kinds each kind of container takes, in both spellings.
+_ALLOWED = {
+    "Map": "insert delete LoroValue DeleteOnce",
+    "List": "insert delete LoroValue DeleteSeq",
+    "Text": "insert delete mark mark_end Str DeleteSeq MarkStart Null",
+    "MovableList": "insert delete move set LoroValue DeleteSeq ListMove ListSet",
+    "Tree": "create move delete RawTreeMove",
+    "Counter": "counter I64 F64",
+}

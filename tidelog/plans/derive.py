@@ -131,3 +131,15 @@ def event_chain(spark: SparkSession, d: str) -> DataFrame:
     # a writer of its own per change, so that only the dependency holds a change back
     chain = _as(events, CHANGES, doc_id=F.col("doc").cast("string"), peer=F.col("n"), counter=F.lit(0), end_counter=F.lit(1), lamport=F.col("n"), deps=F.transform(deps, lambda x: F.concat(F.lit("0@"), F.split_part(x, F.lit("@"), F.lit(2)))), arrival=F.col("event_id"))
     return chain.filter("lamport % 50 <> 7")
+
+
+def order_script(spark: SparkSession, d: str) -> DataFrame:
+    """An edit script per customer: the priority of each order is typed at the front, the last four characters go."""
+    from tidelog.edit import SCRIPT
+
+    orders = table(spark, d, "orders")
+    doc = F.col("o_custkey").cast("string")
+    typed = _as(orders, SCRIPT, doc_id=doc, seq=F.col("o_orderkey"), peer=F.lit(1), action=F.lit("insert"), container=F.lit("cid:root-t:Text"), pos=F.lit(0), val_json=_text(F.col("o_orderpriority")))
+    ends = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"), F.sum(F.length("o_orderpriority")).alias("n"))
+    cut_off = _as(ends, SCRIPT, doc_id=doc, seq=F.col("last") + 1, peer=F.lit(1), action=F.lit("delete"), container=F.lit("cid:root-t:Text"), pos=F.col("n") - 4, len=F.lit(4))
+    return typed.unionByName(cut_off)

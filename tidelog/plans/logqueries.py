@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog import edit
 from tidelog.operators import assemble, changefeed, hierarchy, log, lww, sequence, tree
 from tidelog.plans import derive
 from tidelog.plans.storage import cut, session_dir
@@ -157,6 +158,21 @@ def q22_binary_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return ops.select("doc_id", "counter", "lamport", "container", "map_key", "val_json")
 
 
+def q23_edit_scripts(spark: SparkSession, d: str) -> DataFrame:
+    changes, ops, _ = edit.compile_scripts(derive.order_script(spark, d))
+    return sequence.texts(sequence.sequence_nodes(changes, ops)).select("doc_id", "text")
+
+
+def q24_merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
+    return log.merge_adjacent(table(spark, d, "changes"))
+
+
+def q25_violations(spark: SparkSession, d: str) -> DataFrame:
+    ops = table(spark, d, "ops")
+    hurt = ops.withColumn("len", F.when(F.col("arrival") % 50 == 3, 0).otherwise(F.col("len"))).withColumn("lamport", F.when(F.col("arrival") % 50 == 4, -1).otherwise(F.col("lamport"))).withColumn("vkind", F.when(F.col("arrival") % 50 == 5, F.lit("other")).otherwise(F.col("vkind")))
+    return log.violations(hurt).select("arrival", "reason")
+
+
 QUERIES = {n: f for n, f in sorted(globals().items()) if n[0] == "q" and n[1:3].isdigit()}
 
 _EV = "select *, user_id % 16 as doc, row_number() over (partition by user_id % 16 order by ts, event_id) - 1 as n from events"
@@ -226,5 +242,11 @@ select case when not coalesce(event_type like 'dev.%.update', false) then 'forei
 select cast(o_custkey as varchar) as doc_id, n as counter, n as lamport, 'cid:root-m:Map' as container, cast(o_orderkey as varchar) as map_key, '"🦜:cid:' || n || '@1:Map"' as val_json from o
 union all select cast(o_custkey as varchar), n + 1, n + 1, 'cid:' || n || '@1:Map', 'priority', '"' || o_orderpriority || '"' from o
 union all select cast(o_custkey as varchar), n + 2, n + 2, 'cid:' || n || '@1:Map', 'status', '"' || o_orderstatus || '"' from o""",
+    "q23_edit_scripts": "select cast(o_custkey as varchar) as doc_id, left(string_agg(o_orderpriority, '' order by o_orderkey desc), cast(sum(length(o_orderpriority)) - 4 as bigint)) as text from orders group by o_custkey",
+    "q24_merge_adjacent": """with o as (select doc_id, peer, counter, unnest(max_by({'end_counter': end_counter, 'lamport': lamport, 'ts': ts, 'deps': deps, 'm': coalesce(msg, '')}, {'e': end_counter, 'm': coalesce(msg, ''), 't': ts})) from changes group by doc_id, peer, counter),
+  n as (select *, case when lag(end_counter) over w = counter and lag(lamport) over w + counter - lag(counter) over w = lamport and len(deps) = 1 and deps[1] = (counter - 1) || '@' || peer and lag(m) over w = m and ts - lag(ts) over w <= 1000 then 0 else 1 end as new from o window w as (partition by doc_id, peer order by counter)),
+  g as (select *, sum(new) over (partition by doc_id, peer order by counter rows unbounded preceding) as g from n)
+select doc_id, peer, min(counter) as counter, max(end_counter) as end_counter, min(lamport) as lamport, min_by(ts, counter) as ts, count(*) as parts from g group by doc_id, peer, g""",
+    "q25_violations": "select arrival, case arrival % 50 when 3 then 'length' when 4 then 'lamport' else 'kind' end as reason from ops where arrival % 50 in (3, 4, 5)",
     "q21_version_codec": 'select doc_id, peer, max(end_counter) as "end" from changes group by doc_id, peer',
 }
