@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.ids import DELETED_PARENT, KINDS, container_is_root, container_kind, container_name
+from tidelog.functions.ids import DELETED_PARENT, KINDS, container_is_root
 from tidelog.operators import sequence, tree
 from tidelog.operators.lww import counter_values, map_values
 from tidelog.plans.grouped import per_group

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.ids import atoms, container_kind, container_name, id_counter, id_peer, op_id, peer_number
-from tidelog.operators.intervals import BLOCK_BITS, block_of, periods
+from tidelog.functions.ids import atoms, container_kind, id_counter, op_id, peer_number
+from tidelog.operators.intervals import block_of, periods
 from tidelog.plans.grouped import per_group
 
 WRITER = ["doc_id", "peer"]

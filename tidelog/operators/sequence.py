@@ -20,7 +20,7 @@ from tidelog.plans.grouped import per_group
 from tidelog.plans.schema import SPELLINGS
 
 KINDS = ["Text", "List", "MovableList"]
-NODES = "doc_id string, container string, ord bigint, peer string, counter bigint, val_json string, mark string, style string, deleted boolean, current boolean, value_peer string, value_counter bigint"
+NODES = "doc_id string, container string, ord bigint, peer string, counter bigint, len bigint, val_json string, mark string, style string, deleted boolean, current boolean, value_peer string, value_counter bigint"
 CHUNK = 256
 
 
@@ -193,7 +193,11 @@ def apply(seq: Sequence, r: dict, kind: str) -> None:
     n = max(r["len"] or 1, 1)
     if skip >= n:
         return
-    seq.taken.setdefault(peer, []).append((counter + skip, counter + n))
+    spans = seq.taken.setdefault(peer, [])
+    if spans and spans[-1][1] == counter + skip:
+        spans[-1] = (spans[-1][0], counter + n)
+    else:
+        spans.append((counter + skip, counter + n))
     past = Past(dict(r["past"] or ()))
     past[peer] = max(past.get(peer, 0), counter + skip)
     pos = (r["pos"] or 0) + (skip if what == "insert" else 0)
@@ -261,10 +265,29 @@ def _replay(rows: list[dict]) -> Iterator[tuple]:
 
 
 def _emit(first: dict, seq: Sequence) -> Iterator[tuple]:
+    doc, container = first["doc_id"], first["container"]
+    text = container.endswith(":Text")
     ended = {(n.peer, n.counter - 1) for n in seq if n.anchor and not n.anchor[0] and not n.gone}
     open_marks: dict[str, list] = {}
     style = None
+    run: list[str] = []  # characters typed in a row that are alike in all else
+    head: tuple = ()
+
+    def done() -> Iterator[tuple]:
+        if run:
+            at, peer, counter, gone, worn = head
+            yield doc, container, at, peer, counter, len(run), json.dumps("".join(run), ensure_ascii=False), None, worn, gone, True, peer, counter
+            run.clear()
+
     for i, n in enumerate(seq):
+        if text and n.anchor is None:
+            gone = bool(n.gone)
+            if not run or head[1] != n.peer or head[2] + len(run) != n.counter or head[3] != gone:
+                yield from done()
+                head = (i, n.peer, n.counter, gone, style)
+            run.append(n.value)
+            continue
+        yield from done()
         mark = None
         if n.anchor:
             start, key, value, writer, *_ = n.anchor
@@ -284,13 +307,15 @@ def _emit(first: dict, seq: Sequence) -> Iterator[tuple]:
             current = known is not None and known[1] is n and known[4] is not None
             if current:
                 value, wrote = known[3], known[4]
-        yield first["doc_id"], first["container"], i, n.peer, n.counter, None if n.anchor else json.dumps(value, ensure_ascii=False), mark, style, bool(n.gone), current, wrote[0], wrote[1]
+        yield doc, container, i, n.peer, n.counter, 1, None if n.anchor else json.dumps(value, ensure_ascii=False), mark, style, bool(n.gone), current, wrote[0], wrote[1]
+    yield from done()
 
 
 def sequence_nodes(changes: DataFrame, ops: DataFrame) -> DataFrame:
-    """One row per element or anchor of every Text, List and MovableList, in order: (doc_id, container, ord, peer,
-    counter, val_json, mark, style, deleted, current, value_peer, value_counter).
+    """One row per item or anchor of every List and MovableList, and per run of characters of every Text, in order:
+    (doc_id, container, ord, peer, counter, len, val_json, mark, style, deleted, current, value_peer, value_counter).
 
+    A run holds ``len`` characters typed in a row and alike in all else, as JSON text.
     ``mark`` names an anchor; ``style`` is the canonical JSON of the styles in force, null values included; ``current``
     tells the place an item of a MovableList really has; value_peer and value_counter name the op that wrote the value.
     Ops of one container are replayed in (lamport, peer, counter) order; repeated and overlapping deliveries count once.

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.ids import DELETED_PARENT, container_kind, peer_number
-from tidelog.operators.log import first_deliveries
 from tidelog.plans.grouped import per_group
 
 PLACED = "doc_id string, container string, node_id string, parent_id string, fractional_index string, lamport bigint, peer string"

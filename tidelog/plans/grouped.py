@@ -14,6 +14,13 @@ from pyspark.sql.types import StructType
 SEND = 10_000
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` for Python work. A number of parts is named because adaptive execution would
+    otherwise merge them by bytes, and few bytes may be much work."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def per_group(df: DataFrame, keys: list[str], order: list, work: Callable[[list[dict]], Iterator[tuple]], ddl: str) -> DataFrame:
     """``work`` gets the rows of one group, in order, and yields rows of ``ddl``. Groups must fit a task's memory."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
@@ -43,4 +50,4 @@ def per_group(df: DataFrame, keys: list[str], order: list, work: Callable[[list[
         if out:
             yield send(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*[F.col(k) for k in keys], *order).mapInArrow(run, ddl)
+    return spread(df, *keys).sortWithinPartitions(*[F.col(k) for k in keys], *order).mapInArrow(run, ddl)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import edit
-from tidelog.operators import assemble, changefeed, hierarchy, log, lww, sequence, tree
+from tidelog.operators import assemble, hierarchy, log, lww, sequence, tree
 from tidelog.plans import derive
 from tidelog.plans.storage import cut, session_dir
 from tidelog.plans.tables import table

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import changefeed, dedup, hierarchy, incremental, intervals, nested
-from tidelog.plans.storage import session_dir
 from tidelog.plans.tables import table
 
 

@@ -6,8 +6,10 @@ checkpointed plan it survives the loss of any executor, and it is written once a
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,20 @@ def sweep(spark: SparkSession) -> None:
     """Deletes every cut of this application. Results that still read from one must have been written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of all executors, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_tidelog_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(package):  # else it runs from such an archive already
+        archive = f"{tempfile.mkdtemp(prefix='tidelog-')}/tidelog.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for at, _, names in os.walk(package):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(package)))
+        context.addPyFile(archive)
+    context._tidelog_shipped = True
