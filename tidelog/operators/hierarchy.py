@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.ids import DELETED_PARENT, id_counter, peer_number
+from tidelog.plans.grouped import spread
 from tidelog.plans.storage import cut
 
 #: Ids of one writer per fragment, as a power of two; records of one tree that a task may solve as a whole.
@@ -197,7 +198,7 @@ def _by_fragment(work: Callable[[list[tuple]], Iterator[tuple]], ddl: str):
 
 
 def _pass(rows: DataFrame, work, ddl: str) -> DataFrame:
-    placed = rows.select(*_IN).repartition(*TREE, "frag").sortWithinPartitions(*TREE, "frag")
+    placed = spread(rows.select(*_IN), *TREE, "frag").sortWithinPartitions(*TREE, "frag")
     return placed.mapInArrow(_by_fragment(work, ddl), ddl)
 
 
