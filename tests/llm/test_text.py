@@ -50,9 +50,15 @@ def test_fill(spark):
                 held[r.container_id] += r.n_tokens
                 of[r.doc_id].append(r)
             assert max(held.values()) <= capacity
-            classes = {i: (k, n) for i, _, n, k in items}
-            for _, box in Counter((r.container_id, classes[r.doc_id][0]) for r in mine if classes[r.doc_id][0] is not None and not (r.n_tokens == capacity)).items():
-                assert box == 1
+            classes = {i: (s, k) for i, s, _, k in items}
+            shards = defaultdict(list)
+            for r in mine:
+                if r.n_tokens < capacity:  # full ones are packed with nothing
+                    shards[r.container_id.split("/")[1]].append(r)
+            for rs in shards.values():
+                limit = packing.allowed_copies([(r.n_tokens, *classes[r.doc_id]) for r in rs], capacity)
+                for (_, k), n in Counter((r.container_id, classes[r.doc_id][1]) for r in rs).items():
+                    assert k is None or n == 1 or limit[k] > 1
             for i, _, n, _ in items:
                 pieces = sorted(of[i], key=lambda r: r.piece)
                 assert sum(r.n_tokens for r in pieces) == n and len(pieces) == max(1, -(-n // capacity))
@@ -78,13 +84,23 @@ def test_fill_is_tight(spark):
 def test_best_fit_against_brute_force(items):
     """Every item goes where the least room is left among the compatible containers; a new one only if there is none."""
     items = sorted(items, key=lambda x: -x[0])
-    left, clusters = {}, defaultdict(set)
+    left, clusters = {}, defaultdict(Counter)
+    limit = packing.allowed_copies(items, 20)
     for (size, _, cluster), box in zip(items, packing.pack(items, 20)):
-        fits = [r for b, r in left.items() if r >= size and (cluster is None or cluster not in clusters[b])]
+        fits = [r for b, r in left.items() if r >= size and (cluster is None or clusters[b][cluster] < limit.get(cluster, 1))]
+        if not fits and limit.get(cluster, 1) > 1:
+            fits = [r for r in left.values() if r >= size]
         assert (box not in left) == (not fits)
         assert left.get(box, 20) == (min(fits) if fits else 20)
         left[box] = left.get(box, 20) - size
-        clusters[box].add(cluster)
+        clusters[box][cluster] += 1
+
+
+def test_many_copies_spread_evenly():
+    items = [(3, "a", 1)] * 40 + [(1, "b", None)] * 80  # 200 tokens, 20 containers, 40 copies
+    boxes = packing.pack(items, 10)
+    assert len(set(boxes)) == 20 and max(Counter(boxes[:40]).values()) <= 3
+    assert packing.allowed_copies([(10, "a", 1), (10, "a", 1), (10, "a", 2)], 10) == {1: 1}
 
 
 def test_ties_prefer_a_container_without_the_source():

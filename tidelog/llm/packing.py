@@ -5,7 +5,9 @@ best fit, largest first, in shards of bounded size that are packed independently
 that is not full and no task holds more than a shard. Within a shard open containers are ordered by what is left in
 them; each carries a bitmap of the sources and one of the duplicate clusters it holds. The search begins at the least
 residual that fits and goes on to the next until a compatible container is found: one that holds no other copy of the
-item's cluster. Of equally tight ones, one without the item's source is preferred.
+item's cluster. Where a cluster has more copies than the shard needs containers, they cannot all lie apart: the cluster
+then has as many bits as an even spread needs, and if no container has one of them free, the tightest takes the copy
+before a new one is opened. Of equally tight containers, one without the item's source is preferred.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ class Shelf:
         self.capacity = capacity
         self.residuals: list[int] = []  # those at which containers are open, ascending
         self.at: dict[int, dict[int, list[int]]] = {}  # residual -> bitmap of sources -> containers
-        self.clusters: list[int] = []  # container -> bitmap of the repeated clusters in it
+        self.clusters: list[int] = []  # container -> bitmap of the repeated clusters in it, a bit per copy allowed
 
     def _take(self, size: int, source: int, cluster: int) -> tuple[int, int, int] | None:
         """The tightest compatible container as (container, residual, sources), taken off the shelf."""
@@ -46,7 +48,7 @@ class Shelf:
             for sources in sorted(groups, key=lambda s: (s & source != 0, s)):
                 held = groups[sources]
                 for i in range(len(held) - 1, -1, -1):
-                    if not self.clusters[held[i]] & cluster:
+                    if not cluster or self.clusters[held[i]] & cluster != cluster:
                         box = held.pop(i)
                         if not held:
                             del groups[sources]
@@ -57,10 +59,13 @@ class Shelf:
         return None
 
     def put(self, size: int, source: int, cluster: int) -> int:
-        box, left, sources = self._take(size, source, cluster) or (len(self.clusters), self.capacity, 0)
+        many = cluster & (cluster - 1)
+        found = self._take(size, source, cluster) or many and self._take(size, source, 0)
+        box, left, sources = found or (len(self.clusters), self.capacity, 0)
         if box == len(self.clusters):
             self.clusters.append(0)
-        self.clusters[box] |= cluster
+        free = cluster & ~self.clusters[box]
+        self.clusters[box] |= free & -free
         left -= size
         if left not in self.at:
             self.at[left] = {}
@@ -69,9 +74,20 @@ class Shelf:
         return box
 
 
+def allowed_copies(items: list[tuple[int, str | None, int | None]], capacity: int) -> dict[int, int]:
+    """How many copies of each repeated cluster one container may hold: one, or what spreading them evenly over the
+    least number of containers takes."""
+    containers = max(1, -(-sum(size for size, _, _ in items) // capacity))
+    counts = Counter(c for _, _, c in items if c is not None)
+    return {c: -(-n // containers) for c, n in counts.items() if n > 1}
+
+
 def pack(items: list[tuple[int, str | None, int | None]], capacity: int) -> list[int]:
     """The container of each (size, source, cluster), sizes descending. Items of no cluster conflict with nothing."""
-    repeated = {c: 1 << i for i, c in enumerate(c for c, n in Counter(c for _, _, c in items if c is not None).items() if n > 1)}
+    repeated, used = {}, 0
+    for c, n in allowed_copies(items, capacity).items():
+        repeated[c] = (1 << n) - 1 << used
+        used += n
     bit: dict[str | None, int] = {}
     shelf = Shelf(capacity)
     return [shelf.put(size, bit.setdefault(source, 1 << len(bit)), repeated.get(cluster, 0)) for size, source, cluster in items]
@@ -103,7 +119,8 @@ def fill(items: DataFrame, bins: DataFrame, shard_items: int = SHARD_ITEMS) -> D
     ``items`` holds (doc_id, source, n_tokens, copy_class), ``bins`` (bin_name, capacity_tokens). An item is split only
     if it alone exceeds the capacity, into full pieces and one rest. Every item is placed for every kind of bin; those
     without tokens (null or empty texts) take up no room but are listed. Bins with a null name or a capacity that is
-    null or below 1 are none. Two items of one copy class never share a container, pieces of one item may not either.
+    null or below 1 are none. Two items of one copy class share a container only where there are more copies than
+    containers, and then as evenly as tight packing lets them (``allowed_copies``, per shard).
     """
     kinds = bins.filter("bin_name is not null and capacity_tokens > 0").select("bin_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
     kinds = kinds.limit(MOST_BINS + 1).collect()  # a parameter table
