@@ -19,11 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not hasattr(context, "_tidelog_dir"):
+        context._tidelog_dir = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    return context._tidelog_dir
 
 
 def session_dir(spark: SparkSession) -> str:
