@@ -60,7 +60,8 @@ class Sequence:
         self.ids: dict[tuple[str, int], Node] = {}
         self.seen: dict[str, int] = {}  # everything replayed so far
         self.taken: dict[str, list[tuple[int, int]]] = {}  # and which ids of it
-        self.count = 0
+        # per author: what it had seen of others at its last op, the node that op ended with, and its place for the author
+        self.typing: dict[str, tuple[dict, Node, int]] = {}
         self.movable = movable
         # element of a MovableList -> [writer of its place, its node, writer of its value, value, id of that op]
         self.elems: dict[tuple[int, str], list] = {}
@@ -113,8 +114,9 @@ class Sequence:
         """Where what follows n stands: chunk and offset."""
         if n is None:
             return 0, 0
-        k = self.chunks.index(n.chunk)
-        return k, n.chunk.nodes.index(n) + 1
+        k = len(self.chunks) - 1 if self.chunks[-1] is n.chunk else self.chunks.index(n.chunk)
+        nodes = n.chunk.nodes
+        return k, len(nodes) if nodes[-1] is n else nodes.index(n) + 1
 
     def _from(self, k: int, i: int) -> Iterator[Node]:
         for c in range(k, len(self.chunks)):
@@ -128,9 +130,17 @@ class Sequence:
 
     def insert(self, pos: int, values: list, peer: str, num: int, counter: int, past: Past, anchor=None, elems=None) -> list[Node]:
         """Places a run of new elements between the neighbours its author saw."""
-        left = self.at(pos - 1, past) if pos > 0 else None
-        k, i = self._after(left)
-        right = next((n for n in self._from(k, i) if past.has(n.peer, n.counter)), None)
+        if not values:
+            return []
+        others = {p: end for p, end in past.items() if p != peer}
+        last = self.typing.get(peer)
+        if last is not None and last[2] == pos - 1 and last[0] == others:
+            left, right = last[1], last[1].right  # it types on: nothing it could see has changed since
+            k, i = self._after(left)
+        else:
+            left = self.at(pos - 1, past) if pos > 0 else None
+            k, i = self._after(left)
+            right = next((n for n in self._from(k, i) if past.has(n.peer, n.counter)), None)
         place, between, waiting = left, {id(left)}, False
         mine = None
         for n in self._from(k, i):
@@ -163,6 +173,7 @@ class Sequence:
             made.append(node)
             before = node
         self._put(place, made)
+        self.typing[peer] = (others, made[-1], pos + len(made) - 1)
         return made
 
     def _put(self, place: Node | None, made: list[Node]) -> None:
@@ -172,7 +183,6 @@ class Sequence:
         for n in made:
             n.chunk = c
         c.live += len(made)
-        self.count += len(made)
         if len(c.nodes) > 2 * CHUNK:
             self.chunks[k : k + 1] = [Chunk(c.nodes[x : x + CHUNK]) for x in range(0, len(c.nodes), CHUNK)]
 
@@ -215,6 +225,7 @@ def apply(seq: Sequence, r: dict, kind: str) -> None:
             if known[2] is None or place > known[2]:
                 known[2], known[3], known[4] = place, m.value, (peer, m.counter)
     elif what == "delete":
+        seq.typing.pop(peer, None)
         if r["del_start"]:
             c, _, p = r["del_start"].partition("@")
             span = r["del_len"] or 0
@@ -243,6 +254,7 @@ def apply(seq: Sequence, r: dict, kind: str) -> None:
         if known[2] is None or writer > known[2]:
             known[2], known[3], known[4] = writer, json.loads(r["val_json"]), (peer, counter)
     elif what == "move" and r["elem"]:
+        seq.typing.pop(peer, None)
         lam, _, p = r["elem"].partition("@")
         known = seq.elems.get((int(lam), p))
         source = seq.at(r["move_from"], past) if r["move_from"] is not None else known and known[1]
