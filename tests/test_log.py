@@ -10,7 +10,7 @@ import pytest
 
 from tidelog.functions import versions
 from tidelog.operators import assemble, log, lww, sequence, tree
-from tidelog.plans import schema
+from tidelog.plans import logqueries, schema
 from tidelog.sources import json_log, rooms
 from tidelog.streaming import replay
 
@@ -287,6 +287,17 @@ def test_replay_stream(spark, tmp_path):
     assert [r.event_id for r in spark.read.schema(rooms.EVENTS).parquet(at["bad"]).collect()] == ["b"]
 
 
+def test_replay_stream_keeps_events_without_id(spark, tmp_path, rows):
+    good = json.dumps({"format": "x-fast-updates-v1", "payload": "aGk="})
+    batches = [[("a", good), (None, good), ("", "{"), ("", good)], [("a", good), ("", good), (None, "{"), (None, good)]]
+    os.mkdir(f"{tmp_path}/room_events.parquet")
+    for i, batch in enumerate(batches):
+        events = [(i * 10 + k, i, "r", e, "dev.x.update", c, "1", 0, None) for k, (e, c) in enumerate(batch)]
+        spark.createDataFrame(events, rooms.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/room_events.parquet")
+    got = rows(logqueries.q19_replay_stream(spark, str(tmp_path)))
+    assert got == sorted([("a", "good"), (None, "good"), (None, "good"), ("", "good"), ("", "good"), ("", "bad"), (None, "bad")], key=repr)
+
+
 def test_gate_stream(spark, tmp_path):
     path = f"{tmp_path}/in"
     made = [ch("d", "1", 2, 3, 2), ch("d", "2", 0, 1, 3, ["2@1"]), ch("d", "1", 0, 2, 0), ch("d", "1", 0, 2, 0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,8 +135,8 @@ def q19_replay_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same room as a stream, run to its end: one row per event that was kept, good or quarantined."""
     at = f"{session_dir(spark)}/replay-{uuid.uuid4().hex}"
     replay.replay(rooms.stream(spark, f"{d}/room_events.parquet"), f"{at}/good", f"{at}/bad", f"{at}/state").awaitTermination()
-    rows = [spark.read.schema(rooms.EVENTS).parquet(f"{at}/{x}").select("event_id", F.lit(x).alias("kept")) for x in ("good", "bad")]
-    return rows[0].unionByName(rows[1])
+    tables = [(path, x) for x in ("good", "bad") for path in (f"{at}/{x}", replay.unnamed(f"{at}/{x}"))]
+    return reduce(DataFrame.unionByName, [spark.read.schema(rooms.EVENTS).parquet(path).select("event_id", F.lit(x).alias("kept")) for path, x in tables])
 
 
 def q20_text_of_ops(spark: SparkSession, d: str) -> DataFrame:

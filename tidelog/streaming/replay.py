@@ -12,20 +12,30 @@ from pyspark.sql import functions as F
 from tidelog.sources.rooms import classified
 
 
+def unnamed(path: str) -> str:
+    """The table of the events without an id, beside the table ``path``."""
+    return f"{path}-unnamed"
+
+
 def replay(events: DataFrame, good: str, quarantine: str, checkpoint: str):
     """Starts the query and returns it: ok events go to the table ``good``, broken ones to ``quarantine``.
 
-    Event ids are kept for ever: a repeat may come at any time, and no watermark could tell that it will not. Each
+    Event ids are kept for ever: a repeat may come at any time, and no watermark could tell that it will not. Events
+    with a null or empty id are copies of nothing: every one is kept, in the ``unnamed`` tables beside the two. Each
     batch is written to a folder of its own number, so a batch that is run again after a failure replaces itself.
     """
-    named = classified(events).filter("status in ('ok', 'broken')")
-    once = named.filter("event_id <> ''").dropDuplicates(["event_id"])
+    ours = classified(events).filter("status in ('ok', 'broken')")
+    has_id = F.coalesce(F.col("event_id") != "", F.lit(False))
+    kept = ours.filter(has_id).dropDuplicates(["event_id"]).unionByName(ours.filter(~has_id))
 
     def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
         for path, status in ((good, "ok"), (quarantine, "broken")):
-            batch.filter(F.col("status") == status).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            for to, which in ((path, has_id), (unnamed(path), ~has_id)):
+                batch.filter((F.col("status") == status) & which).write.mode("overwrite").parquet(f"{to}/batch={number}")
+        batch.unpersist()
 
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _gate(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
