@@ -236,6 +236,17 @@ def test_export_ranges(spark, changes, rows):
     assert rows(log.export_ranges(changes, spans)) == [("d", "1", 1, 1, 4, 1, ["0@1"]), ("d", "1", 1, 4, 5, 9, ["3@1", "2@2"])]
 
 
+def test_applied_history_leaves_out_what_waits(spark, changes, rows):
+    more = changes.unionByName(spark.createDataFrame([ch("d", "4", 0, 2, 27, ["6@3"]), ch("d", "1", 6, 8, 30, ["1@4"]), ch("e", "1", 2, 3, 9)], schema.CHANGES))
+    done = log.applied(more)
+    assert rows(log.version_vector(done)) == [("d", "1", 6), ("d", "2", 3), ("e", "1", 1)]
+    assert rows(log.frontiers(done)) == [("d", "1", 5), ("e", "1", 0)]
+    version = spark.createDataFrame([("d", "1", 2)], "doc_id string, peer string, end bigint")
+    assert rows(log.export_from(done, version)) == [("d", "1", 2, 4, 2, ["1@1"]), ("d", "1", 4, 6, 9, ["3@1", "2@2"]), ("d", "2", 0, 3, 4, ["3@1"]), ("e", "1", 0, 1, 0, [])]
+    spans = spark.createDataFrame([("d", "1", 5, 8), ("d", "3", 5, 7)], "doc_id string, peer string, start bigint, end bigint")
+    assert rows(log.export_ranges(done, spans)) == [("d", "1", 1, 5, 6, 10, ["4@1"])]
+
+
 def test_gate_and_past(changes, rows):
     assert [r[1:] for r in rows(log.gate(changes)) if r[0] == "d"] == [("1", 0, "applied"), ("1", 4, "applied"), ("2", 0, "applied"), ("3", 5, "pending")]
     past = {(r.doc_id, r.peer, r.change_counter): r.past for r in log.past_versions(changes).collect()}

@@ -88,11 +88,7 @@ def _changes_once(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*WRITER, "counter").agg(F.max_by(F.struct("end_counter", "lamport", "deps"), F.col("end_counter")).alias("c")).select(*WRITER, "counter", "c.*").withColumn("_p", peer_number(F.col("peer")))
 
 
-def gate(changes: DataFrame) -> DataFrame:
-    """(doc_id, peer, counter, status): ``applied`` if all a change depends on was delivered and applied, and its
-    writer's ids before it too; ``pending`` otherwise. A change's lamport exceeds that of what it depends on, so one
-    pass per document in that order decides."""
-
+def _gated(changes: DataFrame) -> DataFrame:
     def work(rows: list[dict]) -> Iterator[tuple]:
         held: dict[str, int] = {}
         for r in rows:
@@ -102,9 +98,22 @@ def gate(changes: DataFrame) -> DataFrame:
                 ready = ready and int(c) < held.get(p, 0)
             if ready:
                 held[r["peer"]] = max(held.get(r["peer"], 0), r["end_counter"])
-            yield r["doc_id"], r["peer"], r["counter"], "applied" if ready else "pending"
+            yield r["doc_id"], r["peer"], r["counter"], r["end_counter"], r["lamport"], r["deps"], "applied" if ready else "pending"
+
+    return per_group(_changes_once(changes), ["doc_id"], ["lamport", "_p", "counter"], work, "doc_id string, peer string, counter bigint, end_counter bigint, lamport bigint, deps array<string>, status string")
+
+
+def gate(changes: DataFrame) -> DataFrame:
+    """(doc_id, peer, counter, status): ``applied`` if all a change depends on was delivered and applied, and its
+    writer's ids before it too; ``pending`` otherwise. A change's lamport exceeds that of what it depends on, so one
+    pass per document in that order decides."""
+    return _gated(changes).select(*WRITER, "counter", "status")
+
 
-    return per_group(_changes_once(changes), ["doc_id"], ["lamport", "_p", "counter"], work, "doc_id string, peer string, counter bigint, status string")
+def applied(changes: DataFrame) -> DataFrame:
+    """(doc_id, peer, counter, end_counter, lamport, deps): the changes ``gate`` lets through, each once. Versions,
+    frontiers and exports of these are those of a document; of all that was delivered they count what waits, too."""
+    return _gated(changes).filter("status = 'applied'").drop("status")
 
 
 def past_versions(changes: DataFrame) -> DataFrame:

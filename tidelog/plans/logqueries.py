@@ -33,19 +33,43 @@ def q03_version_vector(spark: SparkSession, d: str) -> DataFrame:
     return log.version_vector(table(spark, d, "changes"))
 
 
+def q03_version_applied(spark: SparkSession, d: str) -> DataFrame:
+    """As a document has it: changes that wait for others are not in it."""
+    return log.version_vector(log.applied(table(spark, d, "changes")))
+
+
 def q04_frontiers(spark: SparkSession, d: str) -> DataFrame:
     return log.frontiers(table(spark, d, "changes"))
 
 
+def q04_frontiers_applied(spark: SparkSession, d: str) -> DataFrame:
+    return log.frontiers(cut(log.applied(table(spark, d, "changes")), "applied"))
+
+
 def q05_export_from(spark: SparkSession, d: str) -> DataFrame:
-    changes = table(spark, d, "changes")
+    return _export_half(table(spark, d, "changes"))
+
+
+def q05_export_applied(spark: SparkSession, d: str) -> DataFrame:
+    return _export_half(cut(log.applied(table(spark, d, "changes")), "applied"))
+
+
+def _export_half(changes: DataFrame) -> DataFrame:
     half = log.version_vector(changes).select("doc_id", "peer", F.expr("end div 2").alias("end"))
     return log.export_from(changes, half).withColumn("deps", F.array_join("deps", " "))
 
 
 def q06_export_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return _export_spans(spark, d, table(spark, d, "changes"))
+
+
+def q06_export_ranges_applied(spark: SparkSession, d: str) -> DataFrame:
+    return _export_spans(spark, d, log.applied(table(spark, d, "changes")))
+
+
+def _export_spans(spark: SparkSession, d: str, changes: DataFrame) -> DataFrame:
     spans = table(spark, d, "run_spans").select("doc_id", "peer", F.col("end_counter").alias("start"), F.col("start_counter").alias("end"))
-    return log.export_ranges(table(spark, d, "changes"), spans).withColumn("deps", F.array_join("deps", " ")).withColumn("layer", F.col("layer").cast("bigint"))
+    return log.export_ranges(changes, spans).withColumn("deps", F.array_join("deps", " ")).withColumn("layer", F.col("layer").cast("bigint"))
 
 
 def q07_clip_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -145,9 +169,17 @@ def q20_text_of_ops(spark: SparkSession, d: str) -> DataFrame:
 
 def q21_version_codec(spark: SparkSession, d: str) -> DataFrame:
     """Version vectors through their binary form and back."""
+    return _through_bytes(q03_version_vector(spark, d))
+
+
+def q21_version_codec_applied(spark: SparkSession, d: str) -> DataFrame:
+    return _through_bytes(q03_version_applied(spark, d))
+
+
+def _through_bytes(version: DataFrame) -> DataFrame:
     from tidelog.functions.versions import decode_version, encode_version
 
-    vectors = log.version_vector(table(spark, d, "changes")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("peer", "end"))).alias("vv"))
+    vectors = version.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("peer", "end"))).alias("vv"))
     back = vectors.select("doc_id", decode_version(encode_version(F.col("vv"))).alias("vv"))
     return back.select("doc_id", F.explode("vv").alias("peer", "end"))
 
@@ -178,6 +210,12 @@ QUERIES = {n: f for n, f in sorted(globals().items()) if n[0] == "q" and n[1:3].
 
 _EV = "select *, user_id % 16 as doc, row_number() over (partition by user_id % 16 order by ts, event_id) - 1 as n from events"
 _ONCE = "select doc_id, peer, counter, max(end_counter) as end_counter, max(lamport) as lamport, any_value(deps) as deps from changes group by doc_id, peer, counter"
+#: ``a``: the changes that wait for nothing. What waits for an id that no change has, or for a change that waits, waits.
+_APPLIED = f"""recursive o as ({_ONCE}),
+  need as (select doc_id, peer, counter, cast(split_part(d, '@', 1) as bigint) as c, split_part(d, '@', 2) as p from (select doc_id, peer, counter, unnest(deps) as d from o) union select doc_id, peer, counter, counter - 1, peer from o where counter > 0),
+  edge as (select n.doc_id, n.peer, n.counter, t.peer as tp, t.counter as tc from need n left join o t on t.doc_id = n.doc_id and t.peer = n.p and n.c >= t.counter and n.c < t.end_counter),
+  waits as (select doc_id, peer, counter from edge where tc is null union select e.doc_id, e.peer, e.counter from waits w join edge e on e.doc_id = w.doc_id and e.tp = w.peer and e.tc = w.counter),
+  a as (select * from o anti join waits using (doc_id, peer, counter))"""
 _SALES = """
   last as (select o_custkey, max_by(o_orderkey, o_orderkey) % 25 as nk from orders group by o_custkey),
   nat as (select n_nationkey as nk, n_nationkey || '@2' as id, n_regionkey || '@1' as up from nation),
@@ -198,6 +236,11 @@ ORACLES = {
     "q02_counter": f"select cast(doc as varchar) as doc_id, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total from ({_EV}) group by doc",
     "q02_counter_ops": "select doc_id, container, round(sum(cast(v as double)), 4) as total from (select doc_id, container, peer, counter, min(val_json) as v from ops where container like '%:Counter' group by all) group by doc_id, container",
     "q03_version_vector": 'select doc_id, peer, max(end_counter) as "end" from changes group by doc_id, peer',
+    "q03_version_applied": f'with {_APPLIED} select doc_id, peer, max(end_counter) as "end" from a group by doc_id, peer',
+    "q21_version_codec_applied": f'with {_APPLIED} select doc_id, peer, max(end_counter) as "end" from a group by doc_id, peer',
+    "q04_frontiers_applied": f"with {_APPLIED}, t as (select doc_id, peer, max(end_counter) - 1 as counter from a group by doc_id, peer) select doc_id, peer, counter from t where (doc_id, counter || '@' || peer) not in (select (doc_id, d) from (select doc_id, unnest(deps) as d from a))",
+    "q05_export_applied": f"""with {_APPLIED}, v as (select doc_id, peer, max(end_counter) // 2 as v from a group by doc_id, peer)
+select doc_id, peer, greatest(counter, v) as counter, end_counter, lamport + greatest(v - counter, 0) as lamport, case when v > counter then (v - 1) || '@' || peer else array_to_string(deps, ' ') end as deps from a join v using (doc_id, peer) where end_counter > v""",
     "q04_frontiers": "select doc_id, peer, max(end_counter) - 1 as counter from changes c group by doc_id, peer having (doc_id, (max(end_counter) - 1) || '@' || peer) not in (select (doc_id, d) from (select doc_id, unnest(deps) as d from changes))",
     "q05_export_from": f"""with o as ({_ONCE}), v as (select doc_id, peer, max(end_counter) // 2 as v from changes group by doc_id, peer)
 select doc_id, peer, greatest(counter, v) as counter, end_counter, lamport + greatest(v - counter, 0) as lamport, case when v > counter then (v - 1) || '@' || peer else array_to_string(deps, ' ') end as deps from o join v using (doc_id, peer) where end_counter > v""",
@@ -251,3 +294,4 @@ select doc_id, peer, min(counter) as counter, max(end_counter) as end_counter, m
     "q25_violations": "select arrival, case arrival % 50 when 3 then 'length' when 4 then 'lamport' else 'kind' end as reason from ops where arrival % 50 in (3, 4, 5)",
     "q21_version_codec": 'select doc_id, peer, max(end_counter) as "end" from changes group by doc_id, peer',
 }
+ORACLES["q06_export_ranges_applied"] = ORACLES["q06_export_ranges"].replace(f"with o as ({_ONCE})", f"with {_APPLIED}").replace("from o join s", "from a join s")
