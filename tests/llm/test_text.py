@@ -233,3 +233,12 @@ def test_words_and_parts():
     word = "é" + "a" * 60 + "ü"
     assert "".join(encoding.parts_of("字" * 60)) == "字" * 60 and list(encoding.parts_of(word))[0].startswith("é")
     assert re.fullmatch("[A-Za-z]+", word[24:48]) and len(list(encoding.parts_of(word))) == 2
+
+
+def test_long_runs_are_restored_whole(spark):
+    texts, _ = corpus()
+    line = "наблюдательность сосредоточенность измерительность"
+    wrong = "".join(bytes([b]).decode("latin-1") for b in "".join(bytes([b]).decode("latin-1") for b in line.encode()).encode()).replace(" ", " \n")
+    texts += [(6000 + i, line, "a") for i in range(20)] + [(7000, wrong, "a")]
+    back = {r.doc_id: r for r in encoding.restored(documents(spark, texts)).collect()}
+    assert all(len(w) > encoding.PART for w in wrong.split(" \n")) and back[7000].text == line.replace(" ", " \n")

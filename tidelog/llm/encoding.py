@@ -50,7 +50,7 @@ PRIOR, BACKED = 0.01, 1000.0
 #: beyond ASCII, and for a single character under a letter-by-letter key.
 LIKELIER, LIKELIER_ONE = 4.0, 8.0
 #: Entries of the model that all tasks get; beyond them the rarest bigrams count as unseen. Words longer than this are
-#: counted in parts.
+#: also looked at in parts, which count where the whole is not enciphered.
 MOST_BIGRAMS, PART = 2_000_000, 24
 
 _RUNS = re.compile("[A-Za-z\x80-\U0010ffff]+")
@@ -119,7 +119,8 @@ def words_of(text: str) -> set[str]:
 
 
 def parts_of(word: str) -> Iterator[str]:
-    """Long runs, as of scripts without blanks, in parts; a part without a character beyond ASCII says nothing."""
+    """Long runs, as of scripts without blanks, in parts, for where only some of it is garbled. Cuts may fall within a
+    character of several bytes, so the whole run comes first. A part without a character beyond ASCII says nothing."""
     if len(word) <= PART:
         yield word
     else:
@@ -160,18 +161,20 @@ class Bigrams:
 
 
 def _marked(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, mark, words): what of each document matters here, from one reading of the texts."""
+    """(doc_id, source, mark, words, parts): what of each document matters here, from one reading of the texts. Words
+    are whole runs; parts are those of the long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks, words = [], []
+            marks, words, parts = [], [], []
             for x in b.column("text"):
                 text = x.as_py() or ""
                 marks.append(not text.isascii() and _MARKS.search(text) is not None)
-                words.append(sorted({p for w in words_of(text) for p in parts_of(w)}))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(marks), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "source", "mark", "words"])
+                words.append(sorted(words_of(text)))
+                parts.append(sorted({p for w in words[-1] if len(w) > PART for p in parts_of(w)}))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(marks), *[pa.array(x, pa.list_(pa.string())) for x in (words, parts)]], names=["doc_id", "source", "mark", "words", "parts"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text").mapInArrow(run, "doc_id bigint, source string, mark boolean, words array<string>").filter("mark or size(words) > 0")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text").mapInArrow(run, "doc_id bigint, source string, mark boolean, words array<string>, parts array<string>").filter("mark or size(words) > 0")
 
 
 _READ = "array<struct<k:int,o:string>>"
@@ -234,6 +237,8 @@ def learn(table: DataFrame, rounds: int = ROUNDS) -> Model:
             for b in batches:
                 for word, per, read in zip(b.column("word").to_pylist(), b.column("per").to_pylist(), b.column("read").to_pylist()):
                     for p in per:
+                        if not p["n"]:
+                            continue  # a part only: its run has been counted
                         n, sound, other = p["n"], 1.0, None
                         got = model.best(word, read, p["source"]) if model else None
                         if got and got[1] > -20:
@@ -282,7 +287,8 @@ def examine(documents: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     """(marked documents, enciphered words), both stored."""
     marked = cut(_marked(documents), "marked")
     spark = documents.sparkSession
-    used = marked.select("source", F.explode("words").alias("word")).groupBy("word", "source").agg(F.count("*").alias("n"))
+    spread = lambda c, n: marked.select("source", F.explode(c).alias("word"), F.lit(n).alias("n"))
+    used = spread("words", 1).unionByName(spread("parts", 0)).groupBy("word", "source").agg(F.sum("n").alias("n"))
     per = used.groupBy("word").agg(F.collect_list(F.struct("source", "n")).alias("per"))
     # few bytes but much work a word: a number of parts of their own keeps all cores busy
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
@@ -298,7 +304,7 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sound. Equal rows give one row.
     """
     marked, bad = examine(documents, rounds)
-    words = marked.filter("not mark").select("doc_id", "source", F.explode("words").alias("word"))
+    words = marked.filter("not mark").select("doc_id", "source", F.explode(F.concat("words", "parts")).alias("word"))
     hit = words.join(bad.select("source", "word"), ["source", "word"], "left_semi").select("doc_id")
     return marked.filter("mark").select("doc_id").unionByName(hit).distinct()
 
@@ -310,7 +316,7 @@ def restored(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     they are. ``complete`` is false where undecodable signs or stray control characters remain.
     """
     marked, bad = examine(documents, rounds)
-    words = marked.select("doc_id", "source", F.explode("words").alias("word"))
+    words = marked.select("doc_id", "source", F.explode(F.array_distinct(F.concat("words", "parts"))).alias("word"))
     hits = words.join(bad, ["source", "word"]).groupBy("doc_id").agg(F.collect_list(F.struct("word", "original")).alias("swaps"))
     affected = marked.filter("mark").select("doc_id").unionByName(hits.select("doc_id")).distinct().join(hits, "doc_id", "left")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(affected, "doc_id")
@@ -324,15 +330,10 @@ def restored(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
                 def back(m: re.Match) -> str:
                     nonlocal n
-                    out = []
                     w = m[0]
-                    for i in range(0, len(w), PART):
-                        part = w if len(w) <= PART else w[i : i + PART]
-                        n += part in to
-                        out.append(to.get(part, part))
-                        if len(w) <= PART:
-                            break
-                    return "".join(out)
+                    parts = [w] if w in to or len(w) <= PART else [w[i : i + PART] for i in range(0, len(w), PART)]
+                    n += sum(part in to for part in parts)
+                    return "".join(to.get(part, part) for part in parts)
 
                 new = _RUNS.sub(back, text)
                 texts.append(new)
