@@ -122,6 +122,14 @@ def test_map_entries(spark, rows):
         changefeed.map_entries(df, "other")
 
 
+def test_half_delivered_change_is_not_committed(spark, rows):
+    ops = [op("1", 0, 0, "insert", "a", "1"), op("1", 1, 1, "insert", "b", "2"), op("1", 2, 2, "insert", "a", "3"), op("1", 3, 3, "insert", "b", "4"), op("2", 0, 0, "insert", "c", "5"), op("3", 0, 0, "insert", "d", "6")]
+    changes = spark.createDataFrame([("d", "1", 0, 2), ("d", "1", 2, 5), ("d", "1", 2, 5), ("d", "2", 0, 2)], "doc_id string, peer string, counter bigint, end_counter bigint")
+    df = spark.createDataFrame(ops, OPS)
+    assert rows(changefeed.map_entries(df, "committed", changes), "map_key", "val_json") == [("a", "1"), ("b", "2"), ("d", "6")]
+    assert rows(changefeed.map_entries(df, "delivered", changes), "map_key", "val_json") == [("a", "3"), ("b", "4"), ("c", "5"), ("d", "6")]
+
+
 @SLOW
 @given(st.randoms(use_true_random=False))
 def test_map_entries_any_order(spark, rows, rnd):

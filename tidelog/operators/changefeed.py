@@ -29,6 +29,15 @@ def commit_watermarks(ops: DataFrame) -> DataFrame:
     return watermarks(periods(spans, ["doc_id", "peer"]))
 
 
+def whole_watermarks(marks: DataFrame, changes: DataFrame) -> DataFrame:
+    """``marks`` (doc_id, peer, watermark), each lowered to the end of its writer's last whole change where it lies
+    within one of ``changes``. Changes that are not there are not known to be cut."""
+    known = changes.groupBy("doc_id", "peer", "counter").agg(F.max("end_counter").alias("_end"))
+    w = F.col("watermark")
+    ends = marks.join(known, ["doc_id", "peer"], "left").groupBy("doc_id", "peer", "watermark").agg(F.max(F.when(F.col("_end") <= w, F.col("_end"))).alias("_whole"), F.min(F.when((F.col("counter") < w) & (F.col("_end") > w), F.col("counter"))).alias("_cut"))
+    return ends.select("doc_id", "peer", F.when(F.col("_cut").isNull(), w).otherwise(F.greatest("_cut", "_whole")).alias("watermark"))
+
+
 def map_ops(ops: DataFrame) -> DataFrame:
     """The ops of Map containers. Rows with a null id, key, container or lamport, or of another op kind, are none."""
     kept = ops.filter((container_kind(F.col("container")) == "Map") & F.col("vkind").isin(WRITES + REMOVALS))
@@ -42,25 +51,28 @@ def _latest(where: Column) -> Column:
     return F.max(F.when(where, order))
 
 
-def fold_map(ops: DataFrame) -> DataFrame:
+def fold_map(ops: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """(doc_id, container, map_key, committed, delivered): the last op of every key below the commit watermarks, and
     the last one if what waits behind gaps is let through too; each struct(lamport, _peer, counter, _writes,
     val_json), null if there is none. Two different contents under one op id (which no honest writer makes) are
     settled in favour of the write with the greatest value text."""
-    marked = map_ops(ops).join(commit_watermarks(ops), ["doc_id", "peer"], "left")
+    marks = commit_watermarks(ops)
+    if changes is not None:
+        marks = whole_watermarks(marks, changes)
+    marked = map_ops(ops).join(marks, ["doc_id", "peer"], "left")
     inside = F.col("watermark").isNotNull() & (F.col("counter") < F.col("watermark"))
     rows = marked.select(*KEY, "lamport", "counter", "val_json", peer_number(F.col("peer")).alias("_peer"), F.col("vkind").isin(WRITES).alias("_writes"), inside.alias("_in"))
     folded = rows.groupBy(*KEY).agg(_latest(F.col("_in")).alias("committed"), _latest(~F.col("_in")).alias("_held"))
     return folded.select(*KEY, "committed", F.greatest("committed", "_held").alias("delivered"))
 
 
-def map_entries(ops: DataFrame, release: str = "committed") -> DataFrame:
+def map_entries(ops: DataFrame, release: str = "committed", changes: DataFrame | None = None) -> DataFrame:
     """(doc_id, container, map_key, peer, counter, val_json): the entries each Map holds.
 
-    ``release='committed'`` exposes only what lies below the contiguous watermarks; ``'delivered'`` closes the feed
-    and lets the ops behind gaps through as well. A removed key gives no row; a key set to JSON null is held.
+    ``release='committed'`` exposes only what lies below the contiguous watermarks, and of ``changes``, if given, only
+    whole ones; ``'delivered'`` closes the feed and lets the ops behind gaps through as well. A removed key gives no row; a key set to JSON null is held.
     """
     if release not in ("committed", "delivered"):
         raise ValueError(release)
     last = F.col(release)
-    return fold_map(ops).filter(last["_writes"]).select(*KEY, last["_peer"].cast("string").alias("peer"), last["counter"].alias("counter"), last["val_json"].alias("val_json"))
+    return fold_map(ops, changes).filter(last["_writes"]).select(*KEY, last["_peer"].cast("string").alias("peer"), last["counter"].alias("counter"), last["val_json"].alias("val_json"))

@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_committed(spark: SparkSession, d: str) -> DataFrame:
-    return changefeed.map_entries(table(spark, d, "ops"), "committed")
+    return changefeed.map_entries(table(spark, d, "ops"), "committed", table(spark, d, "changes"))
 
 
 def covered_ids(spans: DataFrame) -> DataFrame:
