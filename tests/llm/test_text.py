@@ -110,46 +110,58 @@ def test_ties_prefer_a_container_without_the_source():
 TARGETS = "source string, target_share double, max_repeats int"
 
 
-def brute_mixture(sized, targets, seed_order, budget):
-    out = []
-    total = sum(w for s, w, _ in targets if any(x[1] == s for x in sized))
-    for s, w, repeats in targets:
-        sent = 0
-        for copy in range(repeats):
-            for doc in seed_order(s, copy):
-                sent += doc[2]
-                if sent / (w / total) <= budget * (1 + 1e-12):
-                    out.append((s, doc[0], copy))
-    return sorted(out)
-
-
-def test_mixture(spark, rows):
+def brute_mixture(queues, budget):
+    """Sends a document at a time, always from the queue whose next one finishes first, while the budget lasts."""
+    queues = {s: (w, list(docs)) for s, (w, docs) in queues.items()}
+    sent, out, total = dict.fromkeys(queues, 0), [], 0
+    while any(docs for _, docs in queues.values()):
+        finish, s = min(((sent[s] + docs[0][2]) / w, s) for s, (w, docs) in queues.items() if docs)
+        d = queues[s][1].pop(0)
+        sent[s] += d[2]
+        total += d[2]
+        if total > budget:
+            break
+        out.append((s, d[0], d[1]))
+    return out
+
+
+def test_mixture(spark):
     rnd = random.Random(2)
     sized = [(i, rnd.choice(["a"] * 20 + ["b"] * 5 + ["c"] + ["other"]), rnd.randint(1, 500)) for i in range(2000)] + [(9000, "a", 0)]
     df = spark.createDataFrame(sized, "doc_id bigint, source string, n_tokens bigint")
-    targets = [("A", 0.5, 1), ("b ", 0.3, 2), ("c", 0.1, 3), ("nobody", 0.1, 9), (None, 0.5, 1), ("zero", 0.0, 1)]
+    targets = [("A", 0.5, 1), ("b ", 0.2, 2), ("c", 0.2, 3), ("nobody", 0.1, 9), (None, 0.5, 1), ("zero", 0.0, 1)]
     t = spark.createDataFrame(targets, TARGETS)
-    mixed = mixing.mixture(df, t).collect()
-    assert [r.finish for r in mixed] == sorted(r.finish for r in mixed)
-    assert max(Counter((r.source, r.doc_id) for r in mixed).values()) <= 3 and {r.source for r in mixed} == {"a", "b", "c"}
-    assert len({(r.source, r.doc_id, r.copy) for r in mixed}) == len(mixed) and not any(r.doc_id == 9000 for r in mixed)
-    budget = mixing.plan(df, t).first().budget
-    order = defaultdict(list)
-    for r in mixed:
-        order[r.source, r.copy].append((r.doc_id, r.source, r.n_tokens))
-    for s in "abc":  # what was cut off behind the budget is as good in any order: it does not fit
-        for copy in range(3):
-            seen = {d[0] for d in order[s, copy]}
-            order[s, copy] += [x for x in sized if x[1] == s and x[0] not in seen and x[2]]
-    live = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 3)]
-    assert brute_mixture(sized, live, lambda s, c: order[s, c], budget) == sorted((r.source, r.doc_id, r.copy) for r in mixed)
-    report = {r.source: r for r in mixing.shares(spark.createDataFrame(mixed), t).collect()}
+    have = Counter()
+    for _, s, n in sized:
+        have[s] += n
+    live = {"a": (0.5 / 0.9, 1), "b": (0.2 / 0.9, 2), "c": (0.2 / 0.9, 3)}
+    everything = sum(have[s] for s in live)
+    all_sent = [(r.source, r.doc_id, r.copy, r.n_tokens) for r in mixing.mixture(df, t, budget=10 * everything).collect()]
+    assert Counter((s, i) for s, i, _, _ in all_sent) == {(s, i): live[s][1] for i, s, n in sized if s in live and n}
+    queues = {s: (w, [(i, c, n) for x, i, c, n in all_sent if x == s]) for s, (w, _) in live.items()}
+    for budget in (None, everything / 2, 3000, 0):
+        mixed = mixing.mixture(df, t, budget=budget).collect()
+        assert [r.finish for r in mixed] == sorted(r.finish for r in mixed)
+        want = brute_mixture(queues, everything if budget is None else budget)
+        got = [(r.source, r.doc_id, r.copy) for r in mixed]
+        # the virtual time ends within a document of every source, the brute force within one document
+        assert got == want[: len(got)] and len(want) - len(got) <= len(live)
+        total = sum(r.n_tokens for r in mixed)
+        assert total <= (everything if budget is None else budget)
+    mixed = mixing.mixture(df, t)
+    report = {r.source: r for r in mixing.shares(mixed, t).collect()}
     assert set(report) == {"a", "b", "c", "nobody"} and report["nobody"].tokens == 0
-    for s, w, _ in live:
-        assert abs(report[s].reached_share - w / 0.9) < 0.02
-    half = mixing.mixture(df, t, budget=budget / 2).collect()
-    assert {(r.source, r.doc_id, r.copy) for r in half} < {(r.source, r.doc_id, r.copy) for r in mixed}
-    assert 0.9 * budget / 2 < sum(r.n_tokens for r in half) <= budget / 2
+    # the scarce source is used up and falls short of its share, the others keep their proportions
+    assert report["c"].tokens == 3 * have["c"] and report["c"].most_uses == 3 and report["c"].reached_share < 0.15
+    assert abs(report["b"].tokens / report["a"].tokens - 0.4) < 0.01
+    assert sum(report[s].tokens for s in live) > everything - 1500
+
+
+def test_closing_time():
+    assert mixing.closing_time([(0.5, 100), (0.5, 1000)], 150) == 150.0
+    assert mixing.closing_time([(0.5, 100), (0.5, 1000)], 300) == 400.0  # the second goes on alone
+    assert mixing.closing_time([(0.5, 100), (0.5, 1000)], 5000) == 2000.0
+    assert mixing.closing_time([(0.5, 100)], 0) == 0.0
 
 
 def test_mixture_of_nothing(spark):
