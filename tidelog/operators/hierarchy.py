@@ -7,8 +7,10 @@ fragments expand what they learn: root, depth and path from above, numbers of de
 meets itself within a fragment is a local loop; one that runs through several is a loop of the quotient, whose nodes
 are the chains between the places where the fragments on the loop join.
 
-The first cut needs no statistics: a fragment is a range of op counters, so that the fragment of a parent is known from
-its id alone and nodes made together stay together. Where a quotient is still too large for a task, records join the
+The first cut needs no statistics: a fragment is a range of op counters of one writer, so that the fragment of a parent
+is known from its id alone and nodes made together stay together; an id that is no op id is a fragment by itself. What
+children tell or ask their parents in other fragments is combined per parent before it is sent, so a parent with any
+number of children is one row. Where a quotient is still too large for a task, records join the
 fragment of their parent by a fair coin (random mate), so that every round contracts about a quarter of the edges
 whatever the shape.
 """
@@ -107,15 +109,15 @@ class _Fragments:
 def _contract(rows: list[tuple]) -> Iterator[tuple]:
     f = _Fragments(rows)
     wanted = {i for i, p in enumerate(f.par) if p < 0 and f.end[i] is None and f.fate[i] is None}
-    for r in f.rest:
+    for r in f.rest:  # what is asked of each node that has children elsewhere
         p = f.find(r)
         if p is None:
-            yield r[0], r[1], "answer", r[5], None, "orphan", 0, "", 0
+            yield r[0], r[1], "answer", r[4], None, "orphan", 0, "", 0
         elif f.fate[p] is not None:
-            yield r[0], r[1], "answer", r[5], None, "under_cycle", 0, "", 0
+            yield r[0], r[1], "answer", r[4], None, "under_cycle", 0, "", 0
         else:
             wanted.add(f.top[p])
-            yield r[0], r[1], "answer", r[5], f.nodes[f.top[p]][4], None, f.dist[p], f.trail(p), 0
+            yield r[0], r[1], "answer", r[4], f.nodes[f.top[p]][4], None, f.dist[p], f.trail(p), 0
     if wanted:
         tot = f.totals([r[10] for r in f.nodes])
         for i in wanted:
@@ -229,10 +231,13 @@ def solve(records: DataFrame, solo: int = SOLO, level: int = 1) -> DataFrame:
         records = cut(_mates(records, level), "mates")
     nodes = _rows(records, NODE)
     apart = records.filter("end is null and not upfrag <=> frag").withColumn("upfrag", F.coalesce("upfrag", F.lit(-1)))
-    asks = _rows(apart, ASK, frag="upfrag", id="up", up="id", upfrag=F.lit(None), end=F.lit(None), len=F.lit(0), seg=F.lit(None), w=F.lit(0))
+    parents = apart.select(*TREE, F.col("upfrag").alias("frag"), F.col("up").alias("id")).distinct()
+    asks = _rows(parents, ASK, len=F.lit(0), w=F.lit(0))
     told = cut(_pass(nodes.unionByName(asks), _contract, _CONTRACTED), "contracted")
-    answers = told.filter("what = 'answer'").select(*TREE, "id", F.col("up").alias("_up"), F.col("end").alias("_end"), F.col("len").alias("_len"), F.col("seg").alias("_seg"), F.lit(True).alias("_told"))
-    joined = told.filter("what = 'top'").select(*TREE, "id", "end", "len", "seg", "w").join(answers, [*TREE, "id"], "left")
+    answers = told.filter("what = 'answer'").select(*TREE, F.col("id").alias("_parent"), F.col("up").alias("_up"), F.col("end").alias("_end"), F.col("len").alias("_len"), F.col("seg").alias("_seg"))
+    tops = told.filter("what = 'top'").select(*TREE, "id", "end", "len", "seg", "w")
+    above = apart.select(*TREE, "id", F.col("up").alias("_parent"))
+    joined = tops.join(above.join(answers, [*TREE, "_parent"]), [*TREE, "id"], "left")
     quotient = joined.select(
         *TREE, "id", F.col("_up").alias("up"), F.coalesce("_end", "end").alias("end"),
         F.when(F.col("_up").isNotNull(), F.col("len") + F.col("_len")).otherwise(F.lit(0)).cast("bigint").alias("len"),
@@ -241,10 +246,10 @@ def solve(records: DataFrame, solo: int = SOLO, level: int = 1) -> DataFrame:
     if told.limit(1).count() == 0:
         return _pass(nodes, _expand, _SOLVED)
     above = cut(solve(cut(quotient, "quotient"), solo, level + 1), "above")
-    links = apart.select(*TREE, "id", "frag", "upfrag", "up")
-    known = links.join(above, [*TREE, "id"])
+    known = apart.select(*TREE, "id", "frag", "upfrag", "up").join(above, [*TREE, "id"])
     tops = _rows(known.drop("up"), TOP, end="fate", up="root", len="dist", seg="path", w=F.lit(0), upfrag=F.lit(None))
-    hangs = _rows(known, HANGS, frag="upfrag", id="up", up=F.lit(None), upfrag=F.lit(None), end=F.lit(None), len=(F.col("fate") == "cycle").cast("int"), seg=F.lit(None), w=F.greatest(F.col("tot"), F.lit(0)))
+    below = known.groupBy(*TREE, F.col("upfrag").alias("frag"), F.col("up").alias("id")).agg(F.max((F.col("fate") == "cycle").cast("int")).alias("len"), F.sum(F.greatest(F.col("tot"), F.lit(0))).alias("w"))
+    hangs = _rows(below, HANGS)
     return _pass(nodes.unionByName(tops).unionByName(hangs), _expand, _SOLVED)
 
 
@@ -264,7 +269,8 @@ def hierarchies(nodes: DataFrame, solo: int = SOLO, fragment_bits: int = FRAGMEN
     to one, with root and path '' and depth and number of descendants -1. A node that is its own parent is a loop.
     """
     latest = cut(latest_placements(nodes), "placements")
-    frag = lambda c: F.shiftright(F.coalesce(id_counter(F.col(c)), F.lit(-1).cast("bigint")), fragment_bits)
+    block = lambda c: F.concat_ws("@", F.shiftright(id_counter(F.col(c)), fragment_bits), F.split_part(F.col(c), F.lit("@"), F.lit(2)))
+    frag = lambda c: F.xxhash64(F.when(id_counter(F.col(c)).isNotNull(), block(c)).otherwise(F.col(c)))
     end = F.when(F.coalesce(F.col("parent_id"), F.lit("")) == "", "live").when(F.col("parent_id") == DELETED_PARENT, "deleted")
     records = latest.select(*TREE, F.col("node_id").alias("id"), F.col("parent_id").alias("up"), end.alias("end"), F.lit(1).cast("bigint").alias("len"), F.col("node_id").alias("seg"), F.lit(1).cast("bigint").alias("w"), frag("node_id").alias("frag"), frag("parent_id").alias("upfrag"))
     done = solve(records, solo)

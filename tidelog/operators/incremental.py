@@ -1,8 +1,9 @@
 """Processing only new or changed records.
 
-``pending`` answers from a history of runs which records are still to do. ``Ledger`` runs a job over a table that only
-grows, once for every record: a high watermark on a monotonic sequence number, an upper limit fixed at the start of a
-run, and one commit that publishes the output and the new watermark together.
+``Ledger`` runs a job over a table that only grows, once for every record: a high watermark on a monotonic sequence
+number, an upper limit fixed at the start of a run, and one commit that publishes the output and the new watermark
+together. ``pending`` answers from a history of runs which records are still to do, and ``take_pending`` is the job
+that does so under a ledger.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.intervals import periods, uncovered
+from tidelog.plans.storage import cut
 
 
 def lasting_runs(runs: DataFrame) -> DataFrame:
@@ -40,22 +42,35 @@ def watermarks(done: DataFrame) -> DataFrame:
 def pending(changes: DataFrame, runs: DataFrame, run_spans: DataFrame, upper: int | None = None) -> DataFrame:
     """(doc_id, peer, counter): the delivered changes with at least one op id that no lasting run worked through.
 
-    ``upper`` is the greatest ``arrival`` this run may see; it is fixed before anything else is read, so rows that
-    arrive meanwhile are left to the next run. By default it is the greatest arrival now. Changes that end at or below
-    their writer's watermark are done; those above are held against the periods that runs covered beyond it. A change
-    delivered several times is one row; its longest delivery counts. Rows with a null in an id are no changes, nor are
-    those without ids.
+    ``upper`` is the greatest ``arrival`` that may be seen; without one all of ``changes`` is, as when a ``Ledger`` has
+    fixed it. Changes that end at or below their writer's watermark are done; those above are held against the periods
+    that runs covered beyond it. A change delivered several times is one row; its longest delivery counts. Rows with a
+    null in an id are no changes, nor are those without ids.
     """
-    if upper is None:
-        upper = changes.agg(F.max("arrival")).first()[0]
-    fixed = changes.filter(F.col("arrival") <= F.lit(upper)) if upper is not None else changes.limit(0)
+    fixed = changes if upper is None else changes.filter(F.col("arrival") <= F.lit(upper))
     kept = run_spans.join(lasting_runs(runs), "run_id", "left_semi").select("doc_id", "peer", F.col("start_counter").alias("lo"), F.col("end_counter").alias("hi"))
-    done = periods(kept, ["doc_id", "peer"])
+    done = cut(periods(kept, ["doc_id", "peer"]), "done")  # read for the watermarks and for what lies beyond them
     asked = fixed.select("doc_id", "peer", F.col("counter").alias("lo"), F.col("end_counter").alias("hi"))
     asked = asked.groupBy("doc_id", "peer", "lo").agg(F.max("hi").alias("hi"))
     marks = watermarks(done)
     above = asked.join(marks, ["doc_id", "peer"], "left").filter("watermark is null or hi > watermark or lo < 0").drop("watermark")
-    return uncovered(above, done, ["doc_id", "peer"]).select("doc_id", "peer", F.col("lo").alias("counter"))
+    return uncovered(cut(above, "above"), done, ["doc_id", "peer"]).select("doc_id", "peer", F.col("lo").alias("counter"))
+
+
+def take_pending(ledger: "Ledger", changes: DataFrame, runs: DataFrame, run_spans: DataFrame, crash: str | None = None) -> int | None:
+    """One run of an import: takes up what arrived since the last one and is ``pending``, and what earlier runs of
+    ``ledger`` took up is not taken up again if it was only delivered once more. Returns the new watermark."""
+    before = ledger.output()
+
+    def job(fresh: DataFrame) -> DataFrame:
+        todo = pending(fresh, runs, run_spans)
+        return todo if before is None else todo.join(before, ["doc_id", "peer", "counter"], "left_anti")
+
+    return ledger.run(changes, "arrival", job, crash)
+
+
+class Crash(RuntimeError):
+    """What tests make a run die of."""
 
 
 class Ledger:
@@ -102,11 +117,11 @@ class Ledger:
         if upper is None:
             return None
         if crash == "output":
-            raise RuntimeError("crash before the output")
+            raise Crash("crash before the output")
         out = f"{self.folder}/data/{number:010d}-{uuid.uuid4().hex}"
         job(fresh.filter(F.col(seq) <= F.lit(upper))).write.parquet(out)
         if crash == "commit":
-            raise RuntimeError("crash before the commit")
+            raise Crash("crash before the commit")
         self._commit(number, {"output": out, "from": low, "watermark": upper})
         return upper
 
