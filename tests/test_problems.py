@@ -94,7 +94,7 @@ def test_ledger(spark, tmp_path):
     assert other.run(source(12), "seq", lambda x: x) == 11
     assert sorted(r.seq for r in ledger.output().collect()) == list(range(12))
     with pytest.raises(RuntimeError):  # the loser of a race
-        ledger._commit(1, {"output": "x", "from": 4, "watermark": 11})
+        ledger.commit(1, {"output": "x", "from": 4, "watermark": 11})
 
 
 OPS = "doc_id string, peer string, counter bigint, len bigint, lamport bigint, container string, vkind string, map_key string, val_json string, change_counter bigint, watermark string"
@@ -213,6 +213,45 @@ def test_surplus_copies(spark, rows):
     assert rows(dedup.surplus_copies(df.limit(0))) == []
 
 
+def test_inbox_keeps_what_came_in_earlier_batches(spark, rows, tmp_path):
+    """Batch after batch, over a row range that grows beyond the first one's; what came first stays."""
+    rnd = random.Random(6)
+    inbox, schema = dedup.Inbox(spark, f"file://{tmp_path}/inbox", 200), "src string, row_id bigint, ident string"
+    seen, at = set(), 0
+    for n in (300, 0, 900, 500):
+        batch = [(rnd.choice("ab"), at + i, f"id{rnd.randint(0, 900)}" if rnd.random() < 0.9 else None) for i in range(n)]
+        at += n
+        want = []
+        for s, r, i in batch:
+            if i and (s, i) in seen:
+                want.append((s, r))
+            elif i:
+                seen.add((s, i))
+        rnd.shuffle(batch)
+        assert rows(inbox.take(spark.createDataFrame(batch, schema))) == sorted(want, key=repr)
+        inbox = dedup.Inbox(spark, f"file://{tmp_path}/inbox", 5)  # another process; the first batch fixed the shards
+    stored = inbox.stored(inbox.ledger.manifests())
+    assert {(r.src, r.ident) for r in stored.filter("what = 'n'").collect()} == seen
+
+
+def test_filters_know_no_false_negatives():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
+    bloom = dedup.Bloom.read(dedup.Bloom.of(h[:10_000]).bytes())
+    assert bloom.knows(h[:10_000]).all() and bloom.knows(h[10_000:]).mean() < 0.02
+
+
+def test_identifiers_of_one_hash():
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["a", "b", "a", "c", "b", "a"]
+    t = pa.table({"src": ["s"] * 6, "row_id": [1, 2, 3, 4, 5, 6], "ident": names, "h": np.full(6, 7), "bucket": [0, 0, 0, 1, 1, 1], "bits": pa.nulls(6, pa.binary())}).cast(dedup._SENT_ARROW)
+    got = [(w, r) for b in dedup._settle_shard(t, {}) for w, r in zip(b.column("what").to_pylist(), b.column("row_id").to_pylist()) if w != "f"]
+    assert sorted(got) == [("n", 1), ("n", 2), ("n", 4), ("s", 3), ("s", 5), ("s", 6)]
+
+
 def test_exactly_once_and_identity(spark, rows):
     df = spark.createDataFrame([(3, "a", "1"), (1, "a", "1"), (2, "a1", ""), (4, None, "1"), (5, None, "1")], "id bigint, x string, y string")
     assert rows(dedup.exactly_once(df, "id", "x", "y"), "id") == [(1,), (2,), (4,), (5,)]

@@ -88,7 +88,7 @@ class Ledger:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[dict]:
+    def manifests(self) -> list[dict]:
         """Driver-side: one short line per committed run, not per record."""
         at = self._path(f"{self.folder}/_commits")
         if not self._fs.exists(at):
@@ -104,13 +104,13 @@ class Ledger:
             stream.close()
 
     def watermark(self) -> int | None:
-        done = self._manifests()
+        done = self.manifests()
         return done[-1]["watermark"] if done else None
 
     def run(self, source: DataFrame, seq: str, job: Callable[[DataFrame], DataFrame], crash: str | None = None) -> int | None:
         """Runs ``job`` over what is new; returns the new watermark, or None if nothing is. ``crash`` is for tests: it
         fails before ('output') or after ('commit') the output is written, always ahead of the manifest."""
-        done = self._manifests()
+        done = self.manifests()
         low, number = (done[-1]["watermark"] if done else None), len(done)
         fresh = source if low is None else source.filter(F.col(seq) > F.lit(low))
         upper = fresh.agg(F.max(seq)).first()[0]
@@ -122,10 +122,10 @@ class Ledger:
         job(fresh.filter(F.col(seq) <= F.lit(upper))).write.parquet(out)
         if crash == "commit":
             raise Crash("crash before the commit")
-        self._commit(number, {"output": out, "from": low, "watermark": upper})
+        self.commit(number, {"output": out, "from": low, "watermark": upper})
         return upper
 
-    def _commit(self, number: int, manifest: dict) -> None:
+    def commit(self, number: int, manifest: dict) -> None:
         """The manifest is written aside and renamed; a rename never replaces a file, so a number is taken once."""
         aside = self._path(f"{self.folder}/_pending/{uuid.uuid4().hex}")
         stream = self._fs.create(aside, False)
@@ -139,5 +139,5 @@ class Ledger:
 
     def output(self) -> DataFrame | None:
         """All committed output; None before the first commit."""
-        done = self._manifests()
+        done = self.manifests()
         return self.spark.read.parquet(*[m["output"] for m in done]) if done else None

@@ -71,6 +71,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.surplus_copies(deliveries(spark, d))
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same in two batches, the second meeting the filters and identifiers the first has stored."""
+    messages = deliveries(spark, d)
+    half = messages.groupBy("src").agg(F.percentile_approx("row_id", 0.5).alias("half"))  # a row per source
+    parted = messages.join(F.broadcast(half), "src")
+    inbox = dedup.Inbox(spark, f"{session_dir(spark)}/inbox-{uuid.uuid4().hex}")
+    early = inbox.take(parted.filter("row_id <= half"))
+    return early.unionByName(inbox.take(parted.filter("row_id > half")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten_trees(table(spark, d, "tree_states"))
 
@@ -83,7 +93,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchies(table(spark, d, "tree_nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_resumed, p2_found, p2_committed, p3_found, p4_found, p5_found, p5_triples, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_resumed, p2_found, p2_committed, p3_found, p4_found, p4_batches, p5_found, p5_triples, p6_found)}
 
 _UNION = """
   {name}_b as (select *, max(hi) over (partition by doc_id, peer order by lo, hi rows between unbounded preceding and 1 preceding) as reach from (select distinct doc_id, peer, lo, hi from {src} where hi > lo)),
@@ -114,6 +124,10 @@ with last as (select run_id, max_by(status, seq) as status from import_runs grou
   kept as (select doc_id, peer, start_counter as lo, end_counter as hi from run_spans join last using (run_id) where lower(trim(status)) = 'committed'),{_UNION.format(name="cover", src="kept")}
 select distinct c.doc_id, c.peer, c.counter from changes c left join cover v on c.doc_id = v.doc_id and c.peer = v.peer and v.lo <= c.counter and v.hi >= c.end_counter where v.lo is null"""
 
+_P4 = """
+select 'changes' as src, arrival as row_id from (select arrival, row_number() over (partition by doc_id, peer, counter order by arrival) as rn from changes) where rn > 1
+union all select 'room_events', delivery_id from (select delivery_id, row_number() over (partition by event_id order by delivery_id) as rn from room_events where event_id <> '') where rn > 1"""
+
 ORACLES = {
     "p1_found": _P1,
     "p1_resumed": _P1,
@@ -132,9 +146,8 @@ with ids as (select doc_id, peer, greatest(case when span_kind = 'delete' then s
     case when span_kind = 'delete' then span_start + abs(del_len) when span_end < span_start then span_start + 1 else span_end end as hi from id_spans),{_UNION.format(name="cover", src="ids")}
 select doc_id, peer, 'period' as what, lo, hi from cover
 union all select doc_id, peer, 'gap', hi, nxt from (select *, lead(lo) over (partition by doc_id, peer order by lo) as nxt from cover) where nxt is not null""",
-    "p4_found": """
-select 'changes' as src, arrival as row_id from (select arrival, row_number() over (partition by doc_id, peer, counter order by arrival) as rn from changes) where rn > 1
-union all select 'room_events', delivery_id from (select delivery_id, row_number() over (partition by event_id order by delivery_id) as rn from room_events where event_id <> '') where rn > 1""",
+    "p4_found": _P4,
+    "p4_batches": _P4,
     "p5_found": """
 with j as (select distinct state_id, json(state_json) as doc from tree_states where json_valid(state_json)),
   e as (select state_id, doc, t.key as key, t.type as type, t.id as id, t.parent as up, t.value as v, t.fullkey as at from j, json_tree(j.doc) as t),
