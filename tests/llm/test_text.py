@@ -173,15 +173,23 @@ def test_mixture_of_nothing(spark):
     assert sorted((r.doc_id, r.copy) for r in mixing.mixture(df, t).collect()) == [(1, 0), (1, 1)]
 
 
-@pytest.mark.parametrize("read,written", [k[0] for k in encoding.KEYS if len(k) == 1])
-def test_undo_is_the_inverse_of_misreading(read, written):
-    for text in ("naïve résumé façade", "средний график порога", "zażółć gęślą jaźń", "観測所の雨量"):
-        try:
-            wrong = text.encode(written).decode(read)
-        except UnicodeError:
-            continue
-        if wrong != text:
-            assert encoding.undo(wrong, read, written) == text
+@pytest.mark.parametrize("read", sorted(encoding.pages()))
+def test_misread_text_is_among_the_readings(read):
+    for text, codes in (("résumé façade", ("utf-8", "cp1250", "mac_roman")), ("средний график", ("utf-8", "koi8_r", "cp866")), ("観測所の雨量", ("utf-8", "euc-jp"))):
+        for written in codes:
+            table = encoding.pages()[read]
+            if read == written or any(table[b] == "\ufffe" for b in text.encode(written)):
+                continue
+            for word in text.split():
+                wrong = "".join(table[b] for b in word.encode(written))
+                if wrong == word or wrong.isascii() or not set(wrong) <= set(encoding.alphabet().number) | set(map(chr, range(128, 160))):
+                    continue
+                if written in encoding.MANY_BYTES:
+                    assert word in [o for o, _, _ in encoding.byte_readings(wrong)[0]]
+                else:
+                    a = encoding.alphabet()
+                    chars = tuple(sorted({a.number[c] for c in wrong if c > "\x7f"}))
+                    assert word in ["".join(a.chars[dict(zip(chars, t)).get(a.number[c], a.number[c])] for c in wrong) for t in encoding.tables_of(chars)]
 
 
 WORDS = {
@@ -232,7 +240,7 @@ def test_garbled_and_restored(spark):
     assert set(back) == set(got) and not back[5003].complete and back[5003].text == extra[3][1]
     right = sum(back[i].text == t for i, t in garbled.items())
     assert right / len(garbled) > 0.9, (right, len(garbled))
-    assert back[5004].text == "dash — here" and back[5004].complete
+    assert back[5004].text == "dash — here" and back[5004].complete and (back[5003].evidence, back[5004].evidence) == ("mark", "cipher")
 
 
 def test_nothing_garbled(spark):
@@ -240,11 +248,38 @@ def test_nothing_garbled(spark):
     assert encoding.garbled(df).count() == 0 and encoding.garbled(df.limit(0)).count() == 0 and encoding.restored(df).count() == 0
 
 
-def test_words_and_parts():
+def test_words_and_pieces():
     assert encoding.words_of("abc déjà\nplain line\nx²y é") == {"déjà", "x²y", "é"}
-    word = "é" + "a" * 60 + "ü"
-    assert "".join(encoding.parts_of("字" * 60)) == "字" * 60 and list(encoding.parts_of(word))[0].startswith("é")
-    assert re.fullmatch("[A-Za-z]+", word[24:48]) and len(list(encoding.parts_of(word))) == 2
+    assert encoding.pieces("観測所Ã©tÃ©観測") == ["観測所", "Ã©tÃ©", "観測"] and encoding.pieces("caf�Ã©") == ["Ã©"] and encoding.pieces("Ã©") == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_swaps_of_any_pages_are_learned(spark, seed):
+    """Pages drawn from all the library knows, five texts each: at least nine of ten are found, and hardly any that is
+    sound. Not among them is cp1251 read as mac_cyrillic, which changes one letter of one of these words; see README."""
+    texts, _ = corpus()
+    rnd = random.Random(seed)
+    known = {"utf-8": None} | encoding.pages()
+    sound = [(i, x, s) for i, x, s in texts if i % 20 != 3]
+    swaps = [("cp855", "utf-8"), ("cp862", "utf-8"), ("ptcp154", "koi8_r"), ("cp1256", "utf-8"), ("cp1256", "cp1251"), ("cp855", "cp1251")] if seed == 1 else [(rnd.choice(sorted(encoding.pages())), rnd.choice(["utf-8", *sorted(encoding.pages())])) for _ in range(40)]
+    cases, drawn = {}, 0
+    for read, written in swaps:
+        table, made = known[read], 0
+        for i, x, s in rnd.sample(sound, len(sound)):
+            line = x.split("\n")[1]
+            try:
+                raw = line.encode(written)
+            except UnicodeError:
+                continue
+            wrong = "".join(table[b] for b in raw)
+            if made == 5 or i in cases or wrong == line or re.search("[\ufffe\x80-\x9f]", wrong) or sum(c > "\x7f" for c in line) < 4:
+                continue
+            cases[i], made = (i, x.replace(line, wrong, 1), s), made + 1
+        drawn += made > 0
+    df = documents(spark, [cases.get(i, (i, x, s)) for i, x, s in sound])
+    found = {r.doc_id for r in encoding.garbled(df).collect()}
+    assert drawn >= 5 and len(found & cases.keys()) >= 0.9 * len(cases), (len(found & cases.keys()), len(cases), sorted(cases.keys() - found))
+    assert len(found - cases.keys()) <= 0.01 * len(sound), sorted(found - cases.keys())
 
 
 def test_long_runs_are_restored_whole(spark):
@@ -253,4 +288,4 @@ def test_long_runs_are_restored_whole(spark):
     wrong = "".join(bytes([b]).decode("latin-1") for b in "".join(bytes([b]).decode("latin-1") for b in line.encode()).encode()).replace(" ", " \n")
     texts += [(6000 + i, line, "a") for i in range(20)] + [(7000, wrong, "a")]
     back = {r.doc_id: r for r in encoding.restored(documents(spark, texts)).collect()}
-    assert all(len(w) > encoding.PART for w in wrong.split(" \n")) and back[7000].text == line.replace(" ", " \n")
+    assert back[7000].text == line.replace(" ", " \n")
