@@ -72,7 +72,7 @@ def test_styles_spread(spark):
         (1, "unmark", T, {"pos": 0, "len": 1, "key": "italic"}), (1, "unmark", T, {"pos": 3, "len": 1, "key": "bold"}),
     ])
     assert not errors
-    assert delta(changes, ops) == [("a", {"link": "u"}), ("ZY", {}), ("b", {}), ("cX", {"bold": "true"}), ("d", {})]
+    assert delta(changes, ops) == [("a", {"link": "u"}), ("ZY", {}), ("b", {}), ("cX", {"bold": True}), ("d", {})]
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -94,9 +94,15 @@ def test_ints_stay_ints(logs):
 
 def test_delta_runs(logs):
     runs = [(r.run, r.insert, r.attributes) for r in sequence.delta_runs(sequence.sequence_nodes(*logs)).filter("doc_id = 'styles'").orderBy("run").collect()]
-    # the second mark runs into the first one's end anchor: a null style is no attribute but ends a run
-    assert [r[1] for r in runs] == ["he", "l", "lo"] or "".join(r[1] for r in runs) == "hello"
-    assert runs[0][2] == '{"bold":"true"}' and runs[-1][2] is None
+    # places count anchors: S h e l E l o, then the second mark from 3 to 6: S h e S' l E l E' o
+    # a null style is no attribute but ends a run
+    assert runs == [(0, "he", '{"bold":true}'), (1, "ll", None), (2, "o", None)]
+
+
+def test_style_values_keep_their_types(spark, rows):
+    nodes = [("d", "cid:root-t:Text", i, "1", i, 1, f'"{c}"', None, style, False, True, "1", i) for i, (c, style) in enumerate([("a", '{"n": 5, "on": true, "s": "true", "z": null}'), ("b", '{"o": {"k": [1.5, null]}}'), ("c", None)])]
+    got = rows(sequence.delta_runs(spark.createDataFrame(nodes, sequence.NODES)), "insert", "attributes")
+    assert got == [("a", '{"n":5,"on":true,"s":"true"}'), ("b", '{"o":{"k":[1.5,null]}}'), ("c", None)]
 
 
 def test_conformance(spark):
@@ -111,55 +117,36 @@ def test_conformance(spark):
             assert got.get(name, {}) == numbers(json.load(f)), name
 
 
-class Peer:
-    """A writer of a random history. What it sees it gets from a brute-force replay of all it knows."""
-
-    def __init__(self, number):
-        self.number, self.counter, self.seen, self.log = number, 0, {}, []
+def walk(kids, of=None):
+    """The sequence: what hangs to the left of an element, the element, what hangs to its right, in order of writers."""
+    for n in sorted(kids.get((of, "left"), []), key=lambda n: n["id"][0]):
+        yield from walk(kids, n["id"])
+    if of is not None:
+        yield of
+    for n in sorted(kids.get((of, "right"), []), key=lambda n: n["id"][0]):
+        yield from walk(kids, n["id"])
 
 
-def visible(nodes, past):
-    return [i for i, n in enumerate(nodes) if n["id"][1] < past.get(n["id"][0], 0) and not any(c < past.get(p, 0) for p, c in n["gone"])]
+def brute_text(ops):
+    """Replays by the definition: the whole tree is walked anew for every element, views by looking at everything."""
+    nodes, kids = {}, defaultdict(list)
 
+    def seen(past, order):
+        return [i for i in order if i[1] < past.get(i[0], 0) and not any(c < past.get(p, 0) for p, c in nodes[i]["gone"])]
 
-def brute_text(ops):
-    """Replays by the placement rule over a plain list, an element at a time, views by scanning everything."""
-    nodes = []
     for o in sorted(ops, key=lambda o: (o["lamport"], o["peer"], o["counter"])):
-        past = dict(o["past"]) | {o["peer"]: o["counter"]}
-        if o["what"] == "delete":
-            view = visible(nodes, past)
-            for i in view[o["pos"] : o["pos"] + o["n"]]:
-                nodes[i]["gone"].append((o["peer"], o["counter"]))
-            continue
-        for k, ch in enumerate(o["text"]):
-            past = dict(o["past"]) | {o["peer"]: o["counter"] + k}
-            view = visible(nodes, past)
-            left = view[o["pos"] + k - 1] if o["pos"] + k else -1
-            known = [i for i, n in enumerate(nodes) if i > left and n["id"][1] < past.get(n["id"][0], 0)]
-            right = known[0] if known else len(nodes)
-            name = lambda i: nodes[i]["id"] if 0 <= i < len(nodes) else None
-            rank = lambda r: next((i for i, n in enumerate(nodes) if n["id"] == r and n["left"] == name(left)), len(nodes) + 1)
-            place, scanned, hold = left + 1, {name(left)}, False
-            for i in range(left + 1, right):
-                n = nodes[i]
-                if n["left"] not in scanned:
-                    break
-                scanned.add(n["id"])
-                if n["left"] == name(left):
-                    if n["right"] == name(right):
-                        if n["id"][0] > o["peer"]:
-                            break
-                        hold = False
-                    else:
-                        a, b = rank(n["right"]), rank(name(right))
-                        if a == b and n["id"][0] > o["peer"]:
-                            break
-                        hold = a < b
-                if not hold:
-                    place = i + 1
-            nodes.insert(place, {"id": (o["peer"], o["counter"] + k), "left": name(left), "right": name(right), "c": ch, "gone": []})
-    return "".join(n["c"] for n in nodes if not n["gone"]), nodes
+        for k in range(o["n"]):
+            past, order = dict(o["past"]) | {o["peer"]: o["counter"] + k}, list(walk(kids))
+            view = seen(past, order)
+            if o["what"] == "delete":
+                nodes[view[o["pos"]]]["gone"].append((o["peer"], o["counter"] + k))
+                continue
+            left = view[o["pos"] + k - 1] if o["pos"] + k else None
+            right = next((i for i in (order[order.index(left) + 1 :] if left else order) if i[1] < past.get(i[0], 0)), None)
+            n = nodes[o["peer"], o["counter"] + k] = {"id": (o["peer"], o["counter"] + k), "behind": left, "c": o["text"][k] if o["what"] == "insert" else "", "gone": []}
+            kids[(right, "left") if right and nodes[right]["behind"] == left else (left, "right")].append(n)
+    order = list(walk(kids))
+    return "".join(nodes[i]["c"] for i in order if not nodes[i]["gone"]), lambda past: seen(past, order)
 
 
 def history(seed):
@@ -175,8 +162,7 @@ def history(seed):
                 me["seen"][k] = max(me["seen"].get(k, 0), v)
             me["lamport"] = max(me["lamport"], peers[q]["lamport"])
         past = dict(me["seen"])
-        _, nodes = brute_text([o for o in ops if o["counter"] < past.get(o["peer"], 0)])
-        size = len(visible(nodes, past))
+        size = len(brute_text([o for o in ops if o["counter"] < past.get(o["peer"], 0)])[1](past))
         o = {"peer": p, "counter": me["counter"], "lamport": me["lamport"], "past": past}
         if size and rnd.random() < 0.3:
             pos = rnd.randrange(size)

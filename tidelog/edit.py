@@ -156,24 +156,19 @@ class Document:
             call(w, cid, s)
 
     def _typing_place(self, w: Writer, cid: str, pos: int) -> int:
-        """Where text typed at a user's position goes among the anchors that stand there: it stays in front of a style
-        that does not spread to it, and within one that does."""
+        """Where text typed at a user's position goes: among the anchors that stand there, in front of the first that
+        keeps text out, which are beginnings of styles that do not spread forward or are unset, and ends of styles
+        that spread."""
         live = w.live(cid)
-        at, chars = 0, 0
-        while chars < pos:
-            chars += not live[at].anchor
-            at += 1
-        walked: list[tuple[int, bool]] = []
-        while at < len(live) and live[at].anchor:
-            start, _, value, _, _, info = live[at].anchor
-            front = not (info or 0) & BEFORE if start else bool((info or 0) & AFTER)
-            walked.append((at, front))
-            if front or start and value in ("null", "false"):
-                break
-            at += 1
-        while walked and walked[-1][1]:
-            at = walked.pop()[0]
-        return at
+        chars = [i for i, n in enumerate(live) if not n.anchor]
+        begin = chars[pos - 1] + 1 if pos else 0
+        end = chars[pos] if pos < len(chars) else len(live)
+
+        def keeps_out(n: Node) -> bool:
+            start, _, value, _, _, info = n.anchor
+            return bool((info or 0) & AFTER) if not start else not (info or 0) & BEFORE or value in ("null", "false")
+
+        return next((i for i in range(begin, end) if keeps_out(live[i])), end)
 
     def _range(self, have: int, s: dict, n: int) -> int:
         pos = s["pos"]

@@ -1,55 +1,44 @@
 """Fractional indexes: byte strings that order siblings and always leave room between two of them.
 
 Fixed value: each ends in the terminator 0x80, which by itself is the first index. Shown as upper-case hex.
+
+An index without its terminator is a path of digits in base 256. The index between two is found on one way down, along
+the digits its bounds share. A bound counts only while the way still touches it: one whose path ends, and one that the
+next digit leaves behind, is dropped, and then any digit on the right side of the other bound will do. The way ends as
+soon as it can, in the middle of two bounds or right beside a single one.
 """
 
 from __future__ import annotations
 
-END = 0x80
-
-
-def _before(b: bytes) -> bytes:
-    """Bytes that, with a terminator, sort in front of ``b``."""
-    for i, x in enumerate(b):
-        if x > END:
-            return b[:i]
-        if x:
-            return b[:i] + bytes([x - 1])
-    raise ValueError("nothing sorts in front")
-
-
-def _after(b: bytes) -> bytes:
-    for i, x in enumerate(b):
-        if x < END:
-            return b[:i]
-        if x < 255:
-            return b[:i] + bytes([x + 1])
-    raise ValueError("nothing sorts behind")
+END, LEAST, MOST = 0x80, 0, 0xFF
 
 
 def between(lower: bytes | None, upper: bytes | None) -> bytes:
     """An index between two, either of which may be missing; ValueError if none fits."""
-    if lower is None and upper is None:
-        return bytes([END])
-    if upper is None:
-        return _after(lower) + bytes([END])
-    if lower is None:
-        return _before(upper) + bytes([END])
-    common = min(len(lower), len(upper)) - 1
-    for i in range(max(common, 0)):
-        gap = upper[i] - lower[i]
-        if gap > 1:
-            return lower[:i] + bytes([lower[i] + gap // 2, END])
-        if gap == 1:
-            return lower[: i + 1] + _after(lower[i + 1 :]) + bytes([END])
-        if gap < 0:
+    bounds = {-1: lower, 1: upper}  # by the side on which they lie
+    bounds = {side: b for side, b in bounds.items() if b is not None}
+    path = bytearray()
+    while bounds:
+        i = len(path)
+        digit = {side: b[i] for side, b in bounds.items()}
+        if len(bounds) == 2:
+            ended = [side for side, b in bounds.items() if i == len(b) - 1]
+            if digit[-1] > digit[1] or len(ended) == 2 or ended == [1] and digit[-1] == END:
+                raise ValueError("no index fits between")
+            if not ended and digit[1] - digit[-1] > 1:
+                return bytes([*path, (digit[-1] + digit[1]) // 2, END])
+            path.append(digit[-ended[0]] if ended else digit[-1])
+            if ended or digit[-1] < digit[1]:
+                del bounds[ended[0] if ended else 1]
+            continue
+        ((side, x),) = digit.items()
+        if (END - x) * side < 0:  # the terminator itself lies on the right side
+            break
+        if x != (MOST, LEAST)[side > 0]:
+            path.append(x - side)
             break
-    else:
-        if 0 <= common and len(lower) < len(upper) and upper[common] >= END:
-            return upper[: common + 1] + _before(upper[common + 1 :]) + bytes([END])
-        if 0 <= common and len(lower) > len(upper) and lower[common] < END:
-            return lower[: common + 1] + _after(lower[common + 1 :]) + bytes([END])
-    raise ValueError("no index fits between")
+        path.append(x)
+    return bytes([*path, END])
 
 
 def evenly(lower: bytes | None, upper: bytes | None, n: int) -> list[bytes]:
