@@ -31,6 +31,13 @@ LOGS = {
     "numbers": (["18446744073709551614", "9"], [change(0, 0, 0, [(0, T, put(0, "CD"))]), change(0, 1, 0, [(0, T, put(0, "AB"))])], {"t": "ABCD"}),
     "in_front": (["1", "2"], [change(0, 0, 0, [(0, T, put(0, "BBB"))]), change(0, 1, 3, [(0, T, put(0, "Z"))], ["2@0"])], {"t": "ZBBB"}),
     "between": (["1", "2", "3"], [change(0, 0, 0, [(0, T, put(0, "ABC"))]), change(0, 1, 3, [(0, T, put(1, "X"))], ["2@0"]), change(0, 2, 4, [(0, T, put(1, "Y"))], ["0@1"])], {"t": "AYXBC"}),
+    # 3 saw what 2 typed and types in front of it, 4 did not: what 2 and 4 put hangs on the bracket, what 3 put on that of 2
+    "two_right_neighbours": (["1", "2", "3", "4"], [change(0, 0, 0, [(0, T, put(0, "[]"))]), change(0, 1, 2, [(0, T, put(1, "x"))], ["1@0"]), change(0, 3, 2, [(0, T, put(1, "zz"))], ["1@0"]), change(0, 2, 3, [(0, T, put(1, "y"))], ["0@1"])], {"t": "[yxzz]"}),
+    # two who type on at one place are not interleaved
+    "runs_stay_whole": (["2", "1"], [change(0, 0, 0, [(0, T, put(0, "a")), (1, T, put(1, "b")), (2, T, put(2, "c"))]), change(0, 1, 0, [(0, T, put(0, "x")), (1, T, put(1, "y")), (2, T, put(0, "w"))])], {"t": "wxyabc"}),
+    "by_turns": (["1"], [change(0, 0, 0, [(0, T, put(0, "ab")), (2, "cid:root-u:Text", put(0, "xy")), (4, T, put(1, "c")), (5, "cid:root-u:Text", put(2, "z")), (6, T, put(3, "d"))])], {"t": "acbd", "u": "xyz"}),
+    "removed_neighbour": (["1", "2"], [change(0, 0, 0, [(0, T, put(0, "abc")), (3, T, {"type": "delete", "pos": 1, "len": 1, "start_id": "1@0"})]), change(0, 1, 3, [(0, T, put(2, "x"))], ["2@0"]), change(4, 0, 4, [(4, T, put(1, "y"))])], {"t": "ayxc"}),
+    "looks_like_a_shared_child": (["1"], [change(0, 0, 0, [(0, "cid:root-🤝:notes:Map", {"type": "insert", "key": "k", "value": [0, 76, 77, 1, 0, 1, 2, 3]})])], {"🤝:notes": {"k": [0, 76, 77, 1, 0, 1, 2, 3]}}),
     "backwards": (["1"], [change(0, 0, 0, [(0, T, put(0, "abcd")), (4, T, {"type": "delete", "pos": 2, "len": -2, "start_id": "1@0"})])], {"t": "ad"}),
     "astral": (["1"], [change(0, 0, 0, [(0, T, put(0, "a🙂字")), (3, T, {"type": "delete", "pos": 1, "len": 1, "start_id": "1@0"}), (4, T, put(2, "!"))])], {"t": "a字!"}),
     "same_place": (["1", "2"], [change(0, 0, 0, [(0, T, put(0, "ab"))]), change(2, 0, 2, [(2, T, {"type": "delete", "pos": 0, "len": 2, "start_id": "0@0"})]), change(0, 1, 2, [(0, T, put(1, "x"))], ["1@0"])], {"t": "x"}),
@@ -250,6 +257,36 @@ def test_leaf_placements_equal_replay(logs, rows):
     assert rows(tree.leaf_placements(ops)) == rows(tree.tree_placements(ops))
 
 
+def test_leaf_placements_replay_where_loops_could_arise(logs, rows):
+    """Two crossing moves of nodes that have children: only the replay knows that the second is void."""
+    assert rows(tree.leaf_placements(logs[1])) == rows(tree.tree_placements(logs[1]))
+
+
+def test_names_of_shared_children():
+    good = ["$a>k", "$a\\>b>k", "@1y2p0ij32e8e7:0>k", "@0:-5>k>l", "$a>", "$a>k\\s\\0"]
+    bad = ["notes", "$>k", "$a", "@1>k", "@01:0>k", "@A:0>k", "@zzzzzzzzzzzzzz:0>k", "@1:zzzzzzzz>k", "$a/b>k", "$a>k/", "$a>k\\x", f"${schema.MERGEABLE}x>k"]
+    assert [assemble.is_shared_name(schema.MERGEABLE + x) for x in good + bad] == [True] * len(good) + [False] * len(bad)
+    assert assemble.shared_parent(schema.MERGEABLE + "$a\\>b>k\\s") == ("cid:root-a>b:Map", "k/") and assemble.shared_parent("x") is None
+    assert assemble.shared_parent(schema.MERGEABLE + "@0:-5>k>l") == (f"cid:root-{schema.MERGEABLE}@0:-5>k:Map", "l")
+    assert assemble.shared_parent(schema.MERGEABLE + "@a:b>k") == ("cid:11@10:Map", "k")
+
+
+def test_locate_and_lamport_faults(spark, changes, rows):
+    ids = spark.createDataFrame([("d", "1", 3), ("d", "1", 3), ("d", "1", 5), ("d", "1", 6), ("d", "3", 4), ("x", "1", 0), (None, "1", 0)], "doc_id string, peer string, counter bigint")
+    assert rows(log.locate(changes, ids)) == [("d", "1", 3, 0, 3), ("d", "1", 5, 4, 10), ("d", "1", 6, None, None), ("d", "3", 4, None, None), ("x", "1", 0, None, None)]
+    bad = changes.unionByName(spark.createDataFrame([ch("d", "5", 0, 1, 3, ["3@1"]), ch("d", "2", 3, 4, 6)], schema.CHANGES))
+    assert rows(log.lamport_faults(bad)) == [("d", "2", 3, 6, "2@2", 6), ("d", "5", 0, 3, "3@1", 3)]
+
+
+def test_a_merge_that_takes_too_long_says_so(spark, logs, monkeypatch, rows):
+    few = lambda movable: sequence.__dict__["_Sequence"](movable, 3)
+    monkeypatch.setattr(sequence, "_Sequence", sequence.Sequence, raising=False)
+    monkeypatch.setattr(sequence, "Sequence", few)
+    out = list(sequence._replay([dict.fromkeys(["past", "mark_len", "move_from", "elem", "mark_key", "del_start", "del_len"]) | {"doc_id": "d", "container": T, "peer": "1", "counter": i, "len": 1, "lamport": i, "change_counter": i, "vkind": "insert", "pos": 0, "val_json": '"x"'} for i in range(9)]))
+    nodes = spark.createDataFrame(out, sequence.NODES)
+    assert rows(sequence.failures(nodes)) == [("d", T, "more than 3 steps")] and rows(sequence.texts(nodes)) == []
+
+
 def test_empty_log(spark, rows):
     none = [spark.createDataFrame([], x) for x in (schema.CHANGES, schema.OPS)]
     assert rows(assemble.documents(*none)) == [] and rows(log.frontiers(none[0])) == [] and rows(lww.counter_values(none[1])) == []
@@ -264,11 +301,16 @@ def test_version_codec():
             versions.bytes_version(bad)
 
 
+NAMES = ("dev.x.update", "x-fast-updates-v1")
+
+
 def test_rooms(spark, rows):
     good = json.dumps({"format": "x-fast-updates-v1", "payload": "aGk="})
-    events = [("e1", "dev.x.update", good), ("e2", "m.text", good), ("e3", "dev.x.update", good[:-3]), ("e4", "dev.x.update", '{"format": "other", "payload": "aGk="}'), ("e5", "dev.x.update", '{"format": "x-fast-updates-v1", "payload": "?"}'), ("e6", None, good), ("e7", "dev.x.update", None), ("e8", "dev.x.update", '"text"'), ("e9", "dev.x.update", '{"format": "x-fast-updates-v1"}')]
-    got = rooms.classified(spark.createDataFrame(events, "event_id string, event_type string, content_json string"))
-    assert [r[1] for r in rows(got, "event_id", "status")] == ["ok", "foreign_type", "broken", "foreign_format", "broken", "foreign_type", "broken", "broken", "broken"]
+    events = [("e1", "dev.x.update", good), ("e2", "m.text", good), ("e3", "dev.x.update", good[:-3]), ("e4", "dev.x.update", '{"format": "other", "payload": "aGk="}'), ("e5", "dev.x.update", '{"format": "x-fast-updates-v1", "payload": "?"}'), ("e6", None, good), ("e7", "dev.x.update", None), ("e8", "dev.x.update", '"text"'), ("e9", "dev.x.update", '{"format": "x-fast-updates-v1"}'), ("f1", "dev.x.updates", good)]
+    df = spark.createDataFrame(events, "event_id string, event_type string, content_json string")
+    assert rooms.most_used(df) == NAMES and rooms.most_used(df.limit(0)) == (None, None)
+    got = rooms.classified(df, *NAMES)
+    assert [r[1] for r in rows(got, "event_id", "status")] == ["ok", "foreign_type", "broken", "foreign_format", "broken", "foreign_type", "broken", "broken", "broken", "foreign_type"]
     assert bytes(got.filter("status = 'ok'").first().payload) == b"hi"
 
 
@@ -279,7 +321,7 @@ def test_replay_stream(spark, tmp_path):
     for i, batch in enumerate(batches):
         rows = [(i * 10 + k, i, "r", e, "dev.x.update", c, "1", 0, None) for k, (e, c) in enumerate(batch)]
         spark.createDataFrame(rows, rooms.EVENTS).coalesce(1).write.mode("append").parquet(at["in"])
-        replay.replay(rooms.stream(spark, at["in"]), at["good"], at["bad"], at["state"]).awaitTermination()
+        replay.replay(rooms.stream(spark, at["in"]), *NAMES, at["good"], at["bad"], at["state"]).awaitTermination()
     assert sorted(r.event_id for r in spark.read.schema(rooms.EVENTS).parquet(at["good"]).collect()) == ["a", "c"]
     assert [r.event_id for r in spark.read.schema(rooms.EVENTS).parquet(at["bad"]).collect()] == ["b"]
 

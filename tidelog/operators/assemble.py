@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,13 +54,41 @@ def _base36(n: int) -> str:
             return sign + digits
 
 
+#: The name of a shared child: the path of its parent, a root's name or the peer and counter of what made it in base 36,
+#: and the key in it. Separators within names are escaped.
+_SHARED = re.compile(rf"{MERGEABLE}(?:\$(?!{MERGEABLE})(?P<root>(?:[^\\/>\0]|\\[\\>])+)|@(?P<peer>0|[1-9a-z][0-9a-z]*):(?P<counter>0|-?[1-9a-z][0-9a-z]*))>(?P<key>(?:[^\\/\0]|\\[\\>s0])*)", re.S)
+
+
+def is_shared_name(name: str) -> bool:
+    """Whether a root's name is that of a shared child. One that only begins like it is an ordinary root."""
+    m = _SHARED.fullmatch(name)
+    return m is not None and (m["root"] is not None or int(m["peer"], 36) < 1 << 64 and -(1 << 31) <= int(m["counter"], 36) < 1 << 31)
+
+
+def shared_parent(name: str) -> tuple[str, str] | None:
+    """(id of the parent map, key) of a shared child by its name; None if it is no such name. Where keys are nested in
+    one another the parent is itself a shared child."""
+    if not is_shared_name(name):
+        return None
+    ends = [i for i, c in enumerate(name) if c == ">" and (len(name[:i]) - len(name[:i].rstrip("\\"))) % 2 == 0]
+    above, key = name[: ends[-1]], _unescape(name[ends[-1] + 1 :])
+    if len(ends) > 1:
+        return f"cid:root-{above}:Map", key
+    m = _SHARED.fullmatch(name)
+    return (f"cid:root-{_unescape(m['root'])}:Map" if m["root"] is not None else f"cid:{int(m['counter'], 36)}@{int(m['peer'], 36)}:Map"), key
+
+
+def _unescape(s: str) -> str:
+    return re.sub(r"\\(.)", lambda m: {"s": "/", "0": "\0"}.get(m[1], m[1]), s, flags=re.S)
+
+
 def mergeable_child(parent: str, key: str, marker: list, domain: str | None = None) -> str | None:
     """The shared child container that a map's 8-byte value stands for, if it is such a marker.
 
     A marker is 0, 76, 77, 1, the kind and a 24-bit checksum over ``domain``, the parent's id, the key and the kind
-    (CRC-32, low bits); the child is a root named by the path to it. Without a domain the checksum is not looked at.
+    (CRC-32, low bits); the child is a root named by the path to it.
     """
-    if len(marker) != 8 or marker[:4] != [0, 76, 77, 1] or not all(isinstance(x, int) and 0 <= x < 256 for x in marker) or marker[4] >= len(KINDS):
+    if domain is None or len(marker) != 8 or marker[:4] != [0, 76, 77, 1] or not all(isinstance(x, int) and 0 <= x < 256 for x in marker) or marker[4] >= len(KINDS):
         return None
     body, _, _ = parent.rpartition(":")
     if body.startswith("cid:root-"):
@@ -70,10 +99,9 @@ def mergeable_child(parent: str, key: str, marker: list, domain: str | None = No
         counter, _, peer = body[4:].partition("@")
         raw = bytes([0]) + int(peer).to_bytes(8, "little") + int(counter).to_bytes(4, "little", signed=True)
         path = f"@{_base36(int(peer))}:{_base36(int(counter))}"
-    if domain is not None:
-        data = domain.encode() + _varint(len(raw)) + raw + _varint(len(key.encode())) + key.encode() + bytes([marker[4]])
-        if zlib.crc32(data) & 0xFFFFFF != int.from_bytes(bytes(marker[5:]), "big"):
-            return None
+    data = domain.encode() + _varint(len(raw)) + raw + _varint(len(key.encode())) + key.encode() + bytes([marker[4]])
+    if zlib.crc32(data) & 0xFFFFFF != int.from_bytes(bytes(marker[5:]), "big"):
+        return None
     return f"cid:root-{MERGEABLE}{path}>{_escape(key)}:{KINDS[marker[4]]}"
 
 
@@ -143,7 +171,9 @@ class _Document:
 def documents(changes: DataFrame, ops: DataFrame, domain: str | None = None) -> DataFrame:
     """(doc_id, root_name, kind, value): the state of each document, a row per root with its value as JSON.
 
-    Of roots with one name the one whose ops arrived first shows. Mergeable roots show under their parents only.
+    Of roots with one name the one whose ops arrived first shows. Shared children show under their parents only. A map's
+    value stands for a shared child if it is a marker whose checksum over ``domain`` (a constant of the log's format)
+    is right; without a domain no marker can be told from a value of eight bytes, and none is followed.
     """
     arrived = ops.filter(container_is_root(F.col("container"))).groupBy("doc_id", "container").agg(F.min("arrival").alias("first"))
     roots = arrived.select("doc_id", "container", F.lit("@root").alias("slot"), F.col("first").alias("place"), F.lit(None).cast("string").alias("val_json"), F.lit(None).cast("string").alias("wrote"), F.lit(None).cast("string").alias("more"))
@@ -154,7 +184,7 @@ def documents(changes: DataFrame, ops: DataFrame, domain: str | None = None) ->
         named: set[str] = set()
         for r in sorted((r for r in group if r["_r"]), key=lambda r: r["place"]):
             name, _, kind = r["container"][len("cid:root-") :].rpartition(":")
-            if name not in named and not name.startswith(MERGEABLE):
+            if name not in named and not is_shared_name(name):
                 named.add(name)
                 yield r["doc_id"], name, kind, json.dumps(doc.value(r["container"]), ensure_ascii=False)
 

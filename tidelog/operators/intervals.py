@@ -96,3 +96,16 @@ def uncovered(items: DataFrame, cover: DataFrame, keys: list[str], lo: str = "lo
     seen = line.join(carried, [*keys, "_blk"]).withColumn("_reach", F.greatest(F.max(reach).over(inside), F.col("_carry")))
     out = seen.filter((F.col("_kind") == 1) & (F.col("_reach").isNull() | (F.col("_reach") < F.col("_end"))))
     return out.select(*keys, F.col("_pos").alias(lo), F.col("_end").alias(hi))
+
+
+def running_max(rows: DataFrame, keys: list[str], pos: str, order: list[str], value: Column, name: str, own: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the greatest ``value`` of the rows before each (and of itself, if ``own``) in the order
+    of (pos, order) within its keys. Taken within blocks of ``pos`` and carried over blocks, so that no task holds all
+    rows of one key. Rows with a null key or place are left out."""
+    kept = rows.filter(F.col(pos).isNotNull()).withColumn("_blk", block_of(F.col(pos))).withColumn("_val", value)
+    for k in keys:
+        kept = kept.filter(F.col(k).isNotNull())
+    most = kept.groupBy(*keys, "_blk").agg(F.max("_val").alias("_m"))
+    carry = most.select(*keys, "_blk", F.max("_m").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(pos, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
+    return kept.join(carry, [*keys, "_blk"]).withColumn(name, F.greatest(F.max("_val").over(inside), F.col("_carry"))).drop("_blk", "_val", "_carry")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.ids import atoms, container_kind, id_counter, op_id, peer_number
-from tidelog.operators.intervals import block_of, periods
+from tidelog.operators.intervals import block_of, periods, running_max
 from tidelog.plans.grouped import per_group
 
 WRITER = ["doc_id", "peer"]
@@ -22,16 +22,38 @@ def clip_overlaps(ops: DataFrame) -> DataFrame:
     """
     spans = ops.select(*WRITER, "counter", (F.col("counter") + atoms(F.col("len"))).alias("_end")).filter("doc_id is not null and peer is not null and counter is not null")
     spans = spans.groupBy(*WRITER, "counter").agg(F.max("_end").alias("_end"))
-    reach = F.max("_end").over(Window.partitionBy(*WRITER).orderBy("counter").rowsBetween(Window.unboundedPreceding, -1))
     start = F.greatest(F.col("counter"), F.col("_reach"))
-    return spans.withColumn("_reach", reach).filter("_reach is null or _end > _reach").select(*WRITER, start.alias("counter"), (F.col("_end") - start).alias("len"))
+    reached = running_max(spans, WRITER, "counter", [], F.col("_end"), "_reach")
+    return reached.filter("_reach is null or _end > _reach").select(*WRITER, start.alias("counter"), (F.col("_end") - start).alias("len"))
 
 
-def first_deliveries(ops: DataFrame) -> DataFrame:
-    """``ops`` with the first arrival of every (doc_id, peer, counter, len)."""
-    rest = [c for c in ops.columns if c not in (*WRITER, "counter", "len")]
-    first = ops.groupBy(*WRITER, "counter", "len").agg(F.min_by(F.struct(*rest), F.col("arrival")).alias("_r"))
-    return first.select(*[F.col("_r")[c].alias(c) if c in rest else F.col(c) for c in ops.columns])
+def locate(changes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, peer, counter, change_counter, lamport): each of ``ids`` (doc_id, peer, counter) with the delivered change
+    that holds it, and the op's own lamport; both null where none does. Ids asked for twice are one row.
+
+    Ids and changes share one line per writer: the last change to begin at or before an id is the only one that can
+    hold it, unless changes overlap; then the one that begins last counts.
+    """
+    asked = ids.select(*WRITER, "counter").distinct()
+    held = _changes_once(changes)
+    whole = F.struct(F.col("counter").alias("c"), F.col("end_counter").alias("e"), F.col("lamport").alias("l"))
+    line = held.select(*WRITER, "counter", F.lit(0).alias("_kind"), whole.alias("_w")).unionByName(asked.select(*WRITER, "counter", F.lit(1).alias("_kind"), F.lit(None).cast("struct<c:bigint,e:bigint,l:bigint>").alias("_w")))
+    found = running_max(line, WRITER, "counter", ["_kind"], F.col("_w"), "_in").filter("_kind = 1")
+    inside = F.col("counter") < F.col("_in.e")
+    return found.select(*WRITER, "counter", F.when(inside, F.col("_in.c")).alias("change_counter"), F.when(inside, F.col("_in.l") + F.col("counter") - F.col("_in.c")).alias("lamport"))
+
+
+def lamport_faults(changes: DataFrame) -> DataFrame:
+    """(doc_id, peer, counter, lamport, dep, dep_lamport): changes whose lamport does not exceed that of an op they
+    depend on, or of their writer's op before. No document takes them in; dependencies that were not delivered are no
+    fault. Empty logs have none."""
+    once = _changes_once(changes)
+    named = F.explode(F.array_union(F.coalesce("deps", F.array()), F.when(F.col("counter") > 0, F.array(op_id(F.col("counter") - 1, F.col("peer")))).otherwise(F.array().cast("array<string>"))))
+    edges = once.select(*WRITER, "counter", "lamport", named.alias("dep"))
+    edges = edges.withColumn("_dp", F.split_part("dep", F.lit("@"), F.lit(2))).withColumn("_dc", id_counter(F.col("dep")))
+    known = locate(changes, edges.select("doc_id", F.col("_dp").alias("peer"), F.col("_dc").alias("counter")))
+    known = known.select("doc_id", F.col("peer").alias("_dp"), F.col("counter").alias("_dc"), F.col("lamport").alias("dep_lamport"))
+    return edges.join(known, ["doc_id", "_dp", "_dc"]).filter("dep_lamport >= lamport").select(*WRITER, "counter", "lamport", "dep", "dep_lamport")
 
 
 def version_vector(changes: DataFrame) -> DataFrame:
@@ -89,7 +111,7 @@ def _changes_once(changes: DataFrame) -> DataFrame:
 
 
 def _gated(changes: DataFrame) -> DataFrame:
-    def work(rows: list[dict]) -> Iterator[tuple]:
+    def work(rows: Iterator[dict]) -> Iterator[tuple]:
         held: dict[str, int] = {}
         for r in rows:
             ready = r["counter"] <= held.get(r["peer"], 0)
@@ -100,7 +122,7 @@ def _gated(changes: DataFrame) -> DataFrame:
                 held[r["peer"]] = max(held.get(r["peer"], 0), r["end_counter"])
             yield r["doc_id"], r["peer"], r["counter"], r["end_counter"], r["lamport"], r["deps"], "applied" if ready else "pending"
 
-    return per_group(_changes_once(changes), ["doc_id"], ["lamport", "_p", "counter"], work, "doc_id string, peer string, counter bigint, end_counter bigint, lamport bigint, deps array<string>, status string")
+    return per_group(_changes_once(changes), ["doc_id"], ["lamport", "_p", "counter"], work, "doc_id string, peer string, counter bigint, end_counter bigint, lamport bigint, deps array<string>, status string", stream=True)
 
 
 def gate(changes: DataFrame) -> DataFrame:
@@ -123,7 +145,7 @@ def past_versions(changes: DataFrame) -> DataFrame:
     not delivered count with their own id alone.
     """
 
-    def work(rows: list[dict]) -> Iterator[tuple]:
+    def work(rows: Iterator[dict]) -> Iterator[tuple]:
         byp: dict[str, list[tuple[int, int, dict]]] = {}
         for r in rows:
             seen: dict[str, int] = {}
@@ -143,7 +165,7 @@ def past_versions(changes: DataFrame) -> DataFrame:
             byp.setdefault(r["peer"], []).append((r["counter"], r["end_counter"], seen))
             yield r["doc_id"], r["peer"], r["counter"], list(seen.items())
 
-    got = per_group(_changes_once(changes), ["doc_id"], ["lamport", "_p", "counter"], work, "doc_id string, peer string, change_counter bigint, past array<struct<p:string,end:bigint>>")
+    got = per_group(_changes_once(changes), ["doc_id"], ["lamport", "_p", "counter"], work, "doc_id string, peer string, change_counter bigint, past array<struct<p:string,end:bigint>>", stream=True)
     return got.withColumn("past", F.map_from_entries("past"))
 
 

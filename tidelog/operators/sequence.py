@@ -448,21 +448,23 @@ def apply(seq: Sequence, r: dict, kind: str) -> None:
     seq.seen[peer] = max(seq.seen.get(peer, 0), counter + n)
 
 
-def _replay(rows: list[dict]) -> Iterator[tuple]:
-    kind = rows[0]["container"].rpartition(":")[2]
-    seq = Sequence(kind == "MovableList")
+def _replay(rows: Iterator[dict]) -> Iterator[tuple]:
+    seq = first = None
     pasts: dict[tuple[str, int], dict[str, int]] = {}
     try:
         for r in rows:
+            if seq is None:
+                first, kind = r, r["container"].rpartition(":")[2]
+                seq = Sequence(kind == "MovableList")
             if r["vkind"] == PAST:
                 pasts[r["peer"], r["counter"]] = dict(r["past"])
             else:
                 r["past"] = pasts.get((r["peer"], r["change_counter"]))
                 apply(seq, r, kind)
     except TooLong as e:
-        yield rows[0]["doc_id"], rows[0]["container"], -1, None, None, 0, None, f"failed:{e}", None, True, False, None, None
+        yield first["doc_id"], first["container"], -1, None, None, 0, None, f"failed:{e}", None, True, False, None, None
         return
-    yield from _emit(rows[0], seq)
+    yield from _emit(first, seq)
 
 
 def _emit(first: dict, seq: Sequence) -> Iterator[tuple]:
@@ -537,7 +539,7 @@ def sequence_nodes(changes: DataFrame, ops: DataFrame) -> DataFrame:
     pasts = pasts.select(*[told.get(c, F.col(c) if c in pasts.columns else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in need], "past")
     both = rows.withColumn("past", F.lit(None).cast(pasts.schema["past"].dataType)).unionByName(pasts).withColumn("_p", peer_number(F.col("peer")))
     first = F.when(F.col("vkind") == PAST, 0).otherwise(1)
-    return per_group(both, ["doc_id", "container"], [first, "lamport", "_p", "counter", F.col("len").desc()], _replay, NODES)
+    return per_group(both, ["doc_id", "container"], [first, "lamport", "_p", "counter", F.col("len").desc()], _replay, NODES, stream=True)
 
 
 def failures(nodes: DataFrame) -> DataFrame:
@@ -557,6 +559,12 @@ def texts(nodes: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id", "container").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("ord", char.alias("c"))))), lambda x: x["c"]), "").alias("text"))
 
 
+def lengths(nodes: DataFrame) -> DataFrame:
+    """(doc_id, container, length): characters or items each sequence shows; 0 where all was removed."""
+    shown = F.expr("not deleted and mark is null and current")
+    return nodes.filter("ord >= 0").groupBy("doc_id", "container").agg(F.coalesce(F.sum(F.when(shown, F.col("len"))), F.lit(0)).alias("length"))
+
+
 def items(nodes: DataFrame) -> DataFrame:
     """(doc_id, container, place, val_json) of every List and MovableList, places from 0."""
     kept = live(nodes).filter(container_kind(F.col("container")).isin("List", "MovableList"))

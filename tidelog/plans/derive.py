@@ -61,6 +61,38 @@ def styled_text(spark: SparkSession, d: str, width: int = 40) -> tuple[DataFrame
     return _as(customers, CHANGES, **text, end_counter=F.lit(width), deps=F.array()).unionByName(change), typed.unionByName(begin).unionByName(end)
 
 
+def turns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two Texts per customer; one author types the priorities of its orders at their ends by turns, in one change
+    each."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length("o_orderpriority")
+    orders = table(spark, d, "orders").withColumn("turn", (F.row_number().over(w) - 1) % 2).withColumn("at", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    own = Window.partitionBy("o_custkey", "turn").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    typed = orders.withColumn("place", F.coalesce(F.sum(n).over(own), F.lit(0)))
+    common = {"doc_id": F.col("o_custkey").cast("string"), "peer": F.lit(1), "counter": F.col("at"), "lamport": F.col("at"), "arrival": F.col("o_orderkey")}
+    cid = F.when(F.col("turn") == 0, "cid:root-a:Text").otherwise("cid:root-b:Text")
+    ops = _as(typed, OPS, **common, len=n, change_counter=F.col("at"), container=cid, vkind=F.lit("insert"), pos=F.col("place"), val_json=_text(F.col("o_orderpriority")))
+    return _as(typed, CHANGES, **common, end_counter=F.col("at") + n, deps=F.array()), ops
+
+
+def same_place(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A Text ``[]`` per customer. The first, third, ... order's author has seen no more and types the order's status
+    behind the bracket; the second, fourth, ... author has seen the text of the one before as well, and types in front
+    of it. So authors who never saw each other have different neighbours to their right."""
+    orders = table(spark, d, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    doc, late = F.col("o_custkey").cast("string"), F.col("n") % 2 == 0
+    base = {"doc_id": doc, "peer": F.lit(1), "counter": F.lit(0), "lamport": F.lit(0), "arrival": F.lit(0)}
+    text = {"container": F.lit("cid:root-t:Text"), "vkind": F.lit("insert"), "change_counter": F.lit(0)}
+    customers = orders.select("o_custkey").distinct()
+    put = {"doc_id": doc, "peer": F.col("n") + 1, "counter": F.lit(0), "lamport": F.when(late, 5).otherwise(2), "arrival": F.col("n")}
+    ops = _as(customers, OPS, **base, **text, len=F.lit(2), pos=F.lit(0), val_json=F.lit('"[]"'))
+    more = _as(orders, OPS, **put, **text, len=F.lit(3), pos=F.lit(1), val_json=F.concat(F.lit('"<'), F.col("o_orderstatus"), F.lit('>"')))
+    seen = F.when(late, F.concat(F.lit("2@"), F.col("n").cast("string"))).otherwise(F.lit("1@1"))
+    changes = _as(customers, CHANGES, **base, end_counter=F.lit(2), deps=F.array())
+    return changes.unionByName(_as(orders, CHANGES, **put, end_counter=F.lit(3), deps=F.array(seen))), ops.unionByName(more)
+
+
 def order_list(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A List per customer into which every order is put at the front."""
     orders = table(spark, d, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)

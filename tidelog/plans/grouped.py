@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,28 +23,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
 
 
-def per_group(df: DataFrame, keys: list[str], order: list, work: Callable[[list[dict]], Iterator[tuple]], ddl: str) -> DataFrame:
-    """``work`` gets the rows of one group, in order, and yields rows of ``ddl``. Groups must fit a task's memory."""
+def per_group(df: DataFrame, keys: list[str], order: list, work: Callable[[list[dict] | Iterator[dict]], Iterator[tuple]], ddl: str, stream: bool = False) -> DataFrame:
+    """``work`` gets the rows of one group, in order, and yields rows of ``ddl``. With ``stream`` it gets them one after
+    the other and only what it keeps must fit a task's memory; else the group must."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def send(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-        held: list[dict] = []
-        for b in batches:
-            for r in b.to_pylist():
-                if held and any(held[0][k] != r[k] for k in keys):
-                    yield held
-                    held = []
-                held.append(r)
-        if held:
-            yield held
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for group in groups(batches):
-            for row in work(group):
+        for _, group in groupby((r for b in batches for r in b.to_pylist()), itemgetter(*keys)):
+            for row in work(group if stream else list(group)):
                 out.append(row)
                 if len(out) >= SEND:
                     yield send(out)

@@ -152,13 +152,15 @@ def q18_past_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q19_replay_status(spark: SparkSession, d: str) -> DataFrame:
-    return rooms.classified(table(spark, d, "room_events")).groupBy("status").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
+    events = table(spark, d, "room_events")
+    return rooms.classified(events, *rooms.most_used(events)).groupBy("status").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
 
 
 def q19_replay_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same room as a stream, run to its end: one row per event that was kept, good or quarantined."""
     at = f"{session_dir(spark)}/replay-{uuid.uuid4().hex}"
-    replay.replay(rooms.stream(spark, f"{d}/room_events.parquet"), f"{at}/good", f"{at}/bad", f"{at}/state").awaitTermination()
+    names = rooms.most_used(table(spark, d, "room_events"))
+    replay.replay(rooms.stream(spark, f"{d}/room_events.parquet"), *names, f"{at}/good", f"{at}/bad", f"{at}/state").awaitTermination()
     tables = [(path, x) for x in ("good", "bad") for path in (f"{at}/{x}", replay.unnamed(f"{at}/{x}"))]
     return reduce(DataFrame.unionByName, [spark.read.schema(rooms.EVENTS).parquet(path).select("event_id", F.lit(x).alias("kept")) for path, x in tables])
 
@@ -200,6 +202,33 @@ def q24_merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
     return log.merge_adjacent(table(spark, d, "changes"))
 
 
+def q26_locate(spark: SparkSession, d: str) -> DataFrame:
+    """Which change holds the first id of each span a run worked through, and the lamport of that op."""
+    ids = table(spark, d, "run_spans").select("doc_id", "peer", F.col("start_counter").alias("counter"))
+    return log.locate(table(spark, d, "changes"), ids)
+
+
+def q27_lamport_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth lamport is set back to half of what it was."""
+    changes = table(spark, d, "changes")
+    hurt = changes.withColumn("lamport", F.when(F.col("counter") % 20 == 7, F.expr("lamport div 2")).otherwise(F.col("lamport")))
+    return log.lamport_faults(hurt)
+
+
+def q28_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.lengths(sequence.sequence_nodes(*derive.cut_text(spark, d, 5))).select("doc_id", "length")
+
+
+def q29_two_containers(spark: SparkSession, d: str) -> DataFrame:
+    """One writer that edits two texts by turns, so that its ids in each have gaps."""
+    return sequence.texts(sequence.sequence_nodes(*derive.turns(spark, d))).select("doc_id", "container", "text")
+
+
+def q30_right_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Authors who type at one place, some of whom had seen others' text there and some not."""
+    return sequence.texts(sequence.sequence_nodes(*derive.same_place(spark, d))).select("doc_id", "text")
+
+
 def q25_violations(spark: SparkSession, d: str) -> DataFrame:
     ops = table(spark, d, "ops")
     hurt = ops.withColumn("len", F.when(F.col("arrival") % 50 == 3, 0).otherwise(F.col("len"))).withColumn("lamport", F.when(F.col("arrival") % 50 == 4, -1).otherwise(F.col("lamport"))).withColumn("vkind", F.when(F.col("arrival") % 50 == 5, F.lit("other")).otherwise(F.col("vkind")))
@@ -275,13 +304,15 @@ select id as node_id, up as parent_id, row_number() over (partition by up order
 select cast(o_custkey as varchar) as doc_id, cast(run as bigint) as run, string_agg(chr(cast(97 + i % 26 as int)), '' order by i) as piece, any_value(style) as style from runs group by o_custkey, run""",
     "q17_nested": "select cast(o_custkey as varchar) as doc_id, cast(o_orderkey as varchar) as order_key, 'priority' as field, o_orderpriority as val from orders union all select cast(o_custkey as varchar), cast(o_orderkey as varchar), 'status', o_orderstatus from orders",
     "q18_causal_gate": f"select cast(doc as varchar) as doc_id, n as place, case when n < 7 then 'applied' else 'pending' end as status from ({_EV}) where n % 50 <> 7",
+    "q18_gate_changes": f"with {_APPLIED} select doc_id, peer, counter, case when exists (select 1 from a where a.doc_id = o.doc_id and a.peer = o.peer and a.counter = o.counter) then 'applied' else 'pending' end as status from o",
     "q18_past_versions": f"""with recursive o as ({_ONCE}),
   need as (select doc_id, peer, counter, cast(split_part(d, '@', 1) as bigint) as c, split_part(d, '@', 2) as p from (select doc_id, peer, counter, unnest(deps) as d from o) union select doc_id, peer, counter, counter - 1, peer from o where counter > 0),
   edge as (select n.doc_id, n.peer, n.counter, t.peer as tp, t.counter as tc from need n join o t on t.doc_id = n.doc_id and t.peer = n.p and n.c >= t.counter and n.c < t.end_counter),
   reach as (select doc_id, peer, counter, peer as tp, counter as tc from o union select r.doc_id, r.peer, r.counter, e.tp, e.tc from reach r join edge e on e.doc_id = r.doc_id and e.peer = r.tp and e.counter = r.tc)
 select r.doc_id, r.peer, r.counter as change_counter, n.p as seen_peer, max(n.c) + 1 as seen_end from reach r join need n on n.doc_id = r.doc_id and n.peer = r.tp and n.counter = r.tc group by r.doc_id, r.peer, r.counter, n.p""",
-    "q19_replay_status": """with e as (select event_id, event_type, case when json_valid(content_json) then json_extract_string(content_json, '$.format') end as f, case when json_valid(content_json) then json_extract_string(content_json, '$.payload') end as p from room_events)
-select case when not coalesce(event_type like 'dev.%.update', false) then 'foreign_type' when f is null then 'broken' when f not like '%-fast-updates-v1' then 'foreign_format' when not coalesce(regexp_full_match(p, '[A-Za-z0-9+/]*={0,2}') and length(p) % 4 = 0, false) then 'broken' else 'ok' end as status, count(*) as events, count(distinct event_id) as ids from e group by status""",
+    "q19_replay_status": """with e as (select event_id, event_type, case when json_valid(content_json) then json_extract_string(content_json, '$.format') end as f, case when json_valid(content_json) then json_extract_string(content_json, '$.payload') end as p from room_events),
+  t as (select event_type as t from e where event_type is not null group by event_type order by count(*) desc, event_type desc limit 1), g as (select f as g from e where f is not null group by f order by count(*) desc, f desc limit 1)
+select case when not coalesce(event_type = (select t from t), false) then 'foreign_type' when f is null then 'broken' when f <> (select g from g) then 'foreign_format' when not coalesce(regexp_full_match(p, '[A-Za-z0-9+/]*={0,2}') and length(p) % 4 = 0, false) then 'broken' else 'ok' end as status, count(*) as events, count(distinct event_id) as ids from e group by status""",
     "q22_binary_round_trip": """with o as (select *, (row_number() over (partition by o_custkey order by o_orderkey) - 1) * 3 as n from orders)
 select cast(o_custkey as varchar) as doc_id, n as counter, n as lamport, 'cid:root-m:Map' as container, cast(o_orderkey as varchar) as map_key, '"🦜:cid:' || n || '@1:Map"' as val_json from o
 union all select cast(o_custkey as varchar), n + 1, n + 1, 'cid:' || n || '@1:Map', 'priority', '"' || o_orderpriority || '"' from o
@@ -292,6 +323,16 @@ union all select cast(o_custkey as varchar), n + 2, n + 2, 'cid:' || n || '@1:Ma
   g as (select *, sum(new) over (partition by doc_id, peer order by counter rows unbounded preceding) as g from n)
 select doc_id, peer, min(counter) as counter, max(end_counter) as end_counter, min(lamport) as lamport, min_by(ts, counter) as ts, count(*) as parts from g group by doc_id, peer, g""",
     "q25_violations": "select arrival, case arrival % 50 when 3 then 'length' when 4 then 'lamport' else 'kind' end as reason from ops where arrival % 50 in (3, 4, 5)",
+    "q26_locate": f"""with o as ({_ONCE}), i as (select distinct doc_id, peer, start_counter as counter from run_spans)
+select i.doc_id, i.peer, i.counter, o.counter as change_counter, o.lamport + i.counter - o.counter as lamport from i left join o on o.doc_id = i.doc_id and o.peer = i.peer and i.counter >= o.counter and i.counter < o.end_counter""",
+    "q27_lamport_faults": f"""with o as (select doc_id, peer, counter, end_counter, deps, case when counter % 20 = 7 then lamport // 2 else lamport end as lamport from ({_ONCE})),
+  e as (select doc_id, peer, counter, lamport, unnest(deps) as dep from o union select doc_id, peer, counter, lamport, (counter - 1) || '@' || peer from o where counter > 0)
+select e.*, t.lamport + cast(split_part(dep, '@', 1) as bigint) - t.counter as dep_lamport from e join o t on t.doc_id = e.doc_id and t.peer = split_part(dep, '@', 2) and cast(split_part(dep, '@', 1) as bigint) >= t.counter and cast(split_part(dep, '@', 1) as bigint) < t.end_counter
+where t.lamport + cast(split_part(dep, '@', 1) as bigint) - t.counter >= e.lamport""",
+    "q28_lengths": "select cast(o_custkey as varchar) as doc_id, greatest(cast(sum(length(o_orderpriority)) as bigint) - 5, 0) as length from orders group by o_custkey",
+    "q29_two_containers": "select cast(o_custkey as varchar) as doc_id, case when n % 2 = 0 then 'cid:root-a:Text' else 'cid:root-b:Text' end as container, string_agg(o_orderpriority, '' order by o_orderkey) as text from (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders) group by all",
+    "q30_right_origins": """with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)
+select cast(o_custkey as varchar) as doc_id, '[' || string_agg('<' || o_orderstatus || '>', '' order by (n + 1) // 2, n desc) || ']' as text from o group by o_custkey""",
     "q21_version_codec": 'select doc_id, peer, max(end_counter) as "end" from changes group by doc_id, peer',
 }
 ORACLES["q06_export_ranges_applied"] = ORACLES["q06_export_ranges"].replace(f"with o as ({_ONCE})", f"with {_APPLIED}").replace("from o join s", "from a join s")

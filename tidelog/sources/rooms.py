@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Which event types and payload formats carry changes, as patterns of LIKE; all others are somebody else's.
-TYPES, FORMATS = "dev.%.update", "%-fast-updates-v1"
-
 EVENTS = "delivery_id bigint, batch_id int, room_id string, event_id string, event_type string, content_json string, peer string, counter bigint, received_at timestamp"
 
 
@@ -15,16 +12,24 @@ def _field(name: str) -> Column:
     return F.try_variant_get("_v", f"$.{name}", "string")
 
 
-def classified(events: DataFrame, types: str = TYPES, formats: str = FORMATS) -> DataFrame:
+def most_used(events: DataFrame) -> tuple[str | None, str | None]:
+    """(event type, payload format) that most events have, of equals the last by name: what a room is used for, for
+    those who were not told."""
+    read = events.select("event_type", F.try_variant_get(F.try_parse_json("content_json"), "$.format", "string").alias("f"))
+    last = lambda c: read.groupBy(c).count().filter(F.col(c).isNotNull()).agg(F.max_by(c, F.struct("count", c))).first()[0]
+    return last("event_type"), last("f")
+
+
+def classified(events: DataFrame, event_type: str, payload_format: str) -> DataFrame:
     """``events`` with ``status`` and ``payload``: ``ok``; ``foreign_type`` and ``foreign_format`` are skipped without
-    being errors; ``broken`` is content that is no JSON, lacks a format or a payload, or whose payload is no base64.
+    being errors, names being compared exactly; ``broken`` is content that is no JSON, lacks a format or a payload, or whose payload is no base64.
     One bad event never hides another. ``payload`` is the bytes of an ok event, else null."""
     read = events.withColumn("_v", F.try_parse_json("content_json")).withColumn("_f", _field("format")).withColumn("_p", _field("payload"))
     sound = F.col("_p").rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length("_p") % 4 == 0)
     status = (
-        F.when(~F.coalesce(F.col("event_type").like(types), F.lit(False)), "foreign_type")
+        F.when(~F.coalesce(F.col("event_type") == event_type, F.lit(False)), "foreign_type")
         .when(F.col("_f").isNull(), "broken")
-        .when(~F.col("_f").like(formats), "foreign_format")
+        .when(F.col("_f") != payload_format, "foreign_format")
         .when(~F.coalesce(sound, F.lit(False)), "broken")
         .otherwise("ok")
     )

@@ -17,14 +17,14 @@ def unnamed(path: str) -> str:
     return f"{path}-unnamed"
 
 
-def replay(events: DataFrame, good: str, quarantine: str, checkpoint: str):
+def replay(events: DataFrame, event_type: str, payload_format: str, good: str, quarantine: str, checkpoint: str):
     """Starts the query and returns it: ok events go to the table ``good``, broken ones to ``quarantine``.
 
     Event ids are kept for ever: a repeat may come at any time, and no watermark could tell that it will not. Events
     with a null or empty id are copies of nothing: every one is kept, in the ``unnamed`` tables beside the two. Each
     batch is written to a folder of its own number, so a batch that is run again after a failure replaces itself.
     """
-    ours = classified(events).filter("status in ('ok', 'broken')")
+    ours = classified(events, event_type, payload_format).filter("status in ('ok', 'broken')")
     has_id = F.coalesce(F.col("event_id") != "", F.lit(False))
     kept = ours.filter(has_id).dropDuplicates(["event_id"]).unionByName(ours.filter(~has_id))
 
