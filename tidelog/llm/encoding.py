@@ -80,6 +80,14 @@ def pages() -> dict[str, str]:
     return out
 
 
+def different(rows: np.ndarray) -> np.ndarray:
+    """The different rows, compared as bytes."""
+    if not rows.size:
+        return rows[:0]
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
+    return rows[np.unique(whole, return_index=True)[1]]
+
+
 class Alphabet:
     """The characters of all one-byte pages have numbers of their own; of all others only the block of 256 counts in
     bigrams, and the character within its block. ``maps`` holds every table two pages make: a row per pair, a column per
@@ -107,7 +115,7 @@ class Alphabet:
                         encode[r, self.number[chr(b)]] = b
         self.encode = encode
         maps = np.where(encode[:, None, :] >= 0, decode[np.arange(len(known))[None, :, None], np.maximum(encode, 0)[:, None, :]], -1).reshape(-1, self.own)
-        self.maps = np.unique(maps, axis=0).astype(np.int32)
+        self.maps = different(maps.astype(np.int16))
         self.plain = np.array([c < "\x80" for c in chars])
         self.names = list(known)
         #: How many letters, and bytes, a character may stand for.
@@ -154,7 +162,7 @@ def tables_of(chars: tuple[int, ...]) -> np.ndarray:
     """The different things the pages make of these characters together: a row per table, a column per character."""
     got = alphabet().maps[:, chars]
     got = got[(got >= 0).all(1) & (got != np.array(chars)).any(1)]
-    return np.unique(got, axis=0)
+    return different(got)
 
 
 #: (deciphered, (character's number, -1 - byte) for what characters stand for, whether the code was UTF-8).
