@@ -406,7 +406,7 @@ def test_hierarchies(spark, rows, seed, solo, bits):
     placed = [("d", "t", x, p, 5, "10", "x", "y") for x, p in parents.items()] + [("d", "t", x, rnd.choice(names), 5, "9", "x", "y") for x in names[::3]] + [("d", "t", names[0], parents[names[0]], 5, "10", "x", "y"), ("d", "t", None, "1@1", 1, "1", "", "")]
     rnd.shuffle(placed)
     df = spark.createDataFrame(placed, NODES)
-    assert rows(hierarchy.hierarchies(df, solo, bits)) == brute_hierarchy(parents)
+    assert rows(hierarchy.hierarchies(df, solo, bits, seed * 7)) == brute_hierarchy(parents)
 
 
 def test_deep_chain_and_empty(spark, rows):
@@ -424,7 +424,10 @@ def test_many_peers_and_a_hot_parent(spark):
     peers = [("d", "t", f"0@{p}", "0@1", 1, "1", "", "") for p in range(2, 10_002)]
     sizes = []
     kept = hierarchy._Fragments.__init__
-    assert hierarchy.hierarchies(spark.createDataFrame(top + peers, NODES), solo=100).filter("node_depth = 1 and n_below = 0").count() == 10_000
+    wide = spark.createDataFrame(top + peers, NODES)
+    assert hierarchy.hierarchies(wide, solo=100, fragment_most=500).filter("node_depth = 1 and n_below = 0").count() == 10_000
+    cut = hierarchy.fragments(wide, most=500).groupBy("frag").count().collect()
+    assert len(cut) > 10 and max(r["count"] for r in cut) < 1000
 
     def counted(self, rows):
         sizes.append(len(rows))

@@ -7,8 +7,9 @@ fragments expand what they learn: root, depth and path from above, numbers of de
 meets itself within a fragment is a local loop; one that runs through several is a loop of the quotient, whose nodes
 are the chains between the places where the fragments on the loop join.
 
-The first cut needs no statistics: a fragment is a range of op counters of one writer, so that the fragment of a parent
-is known from its id alone and nodes made together stay together; an id that is no op id is a fragment by itself. What
+At first a fragment is a range of op counters, so that the fragment of a parent is known from its id and nodes made
+together stay together. Where more than ``FRAGMENT_MOST`` nodes of a tree fall into one range, as many peers edited it,
+the tree's writers are dealt out to as many fragments as that takes; ids that are no op ids count as writers. What
 children tell or ask their parents in other fragments is combined per parent before it is sent, so a parent with any
 number of children is one row. Where a quotient is still too large for a task, records join the
 fragment of their parent by a fair coin (random mate), so that every round contracts about a quarter of the edges
@@ -27,8 +28,8 @@ from tidelog.functions.ids import DELETED_PARENT, id_counter, peer_number
 from tidelog.plans.grouped import spread
 from tidelog.plans.storage import cut
 
-#: Ids of one writer per fragment, as a power of two; records of one tree that a task may solve as a whole.
-FRAGMENT_BITS = 10
+#: Counters per fragment, as a power of two, and nodes of a range from which on its writers are dealt out; records of one tree that a task may solve as a whole.
+FRAGMENT_BITS, FRAGMENT_MOST = 10, 20_000
 SOLO = 1_000_000
 #: Rows a task collects before it works on whole fragments, and characters of paths it holds before it sends them on.
 CHUNK, FLUSH = 20_000, 1 << 22
@@ -261,7 +262,19 @@ def latest_placements(nodes: DataFrame) -> DataFrame:
     return named.groupBy(*TREE, "node_id").agg(F.max(order)["parent_id"].alias("parent_id"))
 
 
-def hierarchies(nodes: DataFrame, solo: int = SOLO, fragment_bits: int = FRAGMENT_BITS) -> DataFrame:
+def fragments(placed: DataFrame, bits: int = FRAGMENT_BITS, most: int = FRAGMENT_MOST) -> DataFrame:
+    """``placed`` (doc_id, tree, node_id, parent_id, ...) with ``frag`` and ``upfrag``, the fragments of node and parent.
+    A fragment of a tree holds about ``most`` nodes at most, but for those that one writer has in one range."""
+    numbered = lambda c: id_counter(F.col(c))
+    span = lambda c: F.coalesce(F.shiftright(numbered(c), bits), F.lit(-1).cast("bigint"))
+    writer = lambda c: F.xxhash64(F.when(numbered(c).isNotNull(), F.split_part(F.col(c), F.lit("@"), F.lit(2))).otherwise(F.col(c)))
+    full = placed.groupBy(*TREE, span("node_id").alias("_span")).count().filter(F.col("count") > most).groupBy(*TREE).agg(F.ceil(F.max("count") / most).alias("_hands"))
+    dealt = placed.join(full, TREE, "left").withColumn("_hands", F.coalesce("_hands", F.lit(1).cast("bigint")))
+    frag = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(span(c), F.pmod(writer(c), F.col("_hands"))))
+    return dealt.withColumn("frag", frag("node_id")).withColumn("upfrag", frag("parent_id")).drop("_hands")
+
+
+def hierarchies(nodes: DataFrame, solo: int = SOLO, fragment_bits: int = FRAGMENT_BITS, fragment_most: int = FRAGMENT_MOST) -> DataFrame:
     """(doc_id, tree, node_id, fate, root_id, node_depth, n_below, node_path), one row per node.
 
     fate: ``live`` if the walk up ends at a node without parent (null or ''), ``deleted`` if at one under the parent of
@@ -269,9 +282,8 @@ def hierarchies(nodes: DataFrame, solo: int = SOLO, fragment_bits: int = FRAGMEN
     to one, with root and path '' and depth and number of descendants -1. A node that is its own parent is a loop.
     """
     latest = cut(latest_placements(nodes), "placements")
-    block = lambda c: F.concat_ws("@", F.shiftright(id_counter(F.col(c)), fragment_bits), F.split_part(F.col(c), F.lit("@"), F.lit(2)))
-    frag = lambda c: F.xxhash64(F.when(id_counter(F.col(c)).isNotNull(), block(c)).otherwise(F.col(c)))
     end = F.when(F.coalesce(F.col("parent_id"), F.lit("")) == "", "live").when(F.col("parent_id") == DELETED_PARENT, "deleted")
-    records = latest.select(*TREE, F.col("node_id").alias("id"), F.col("parent_id").alias("up"), end.alias("end"), F.lit(1).cast("bigint").alias("len"), F.col("node_id").alias("seg"), F.lit(1).cast("bigint").alias("w"), frag("node_id").alias("frag"), frag("parent_id").alias("upfrag"))
+    one = F.lit(1).cast("bigint")
+    records = fragments(latest, fragment_bits, fragment_most).select(*TREE, F.col("node_id").alias("id"), F.col("parent_id").alias("up"), end.alias("end"), one.alias("len"), F.col("node_id").alias("seg"), one.alias("w"), "frag", "upfrag")
     done = solve(records, solo)
     return done.select(*TREE, F.col("id").alias("node_id"), "fate", F.col("root").alias("root_id"), F.col("dist").alias("node_depth"), F.when(F.col("tot") < 0, F.lit(-1)).otherwise(F.col("tot") - 1).cast("bigint").alias("n_below"), F.col("path").alias("node_path"))
