@@ -284,6 +284,6 @@ def hierarchies(nodes: DataFrame, solo: int = SOLO, fragment_bits: int = FRAGMEN
     latest = cut(latest_placements(nodes), "placements")
     end = F.when(F.coalesce(F.col("parent_id"), F.lit("")) == "", "live").when(F.col("parent_id") == DELETED_PARENT, "deleted")
     one = F.lit(1).cast("bigint")
-    records = fragments(latest, fragment_bits, fragment_most).select(*TREE, F.col("node_id").alias("id"), F.col("parent_id").alias("up"), end.alias("end"), one.alias("len"), F.col("node_id").alias("seg"), one.alias("w"), "frag", "upfrag")
+    records = cut(fragments(latest, fragment_bits, fragment_most).select(*TREE, F.col("node_id").alias("id"), F.col("parent_id").alias("up"), end.alias("end"), one.alias("len"), F.col("node_id").alias("seg"), one.alias("w"), "frag", "upfrag"), "records")
     done = solve(records, solo)
     return done.select(*TREE, F.col("id").alias("node_id"), "fate", F.col("root").alias("root_id"), F.col("dist").alias("node_depth"), F.when(F.col("tot") < 0, F.lit(-1)).otherwise(F.col("tot") - 1).cast("bigint").alias("n_below"), F.col("path").alias("node_path"))
