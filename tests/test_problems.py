@@ -257,20 +257,6 @@ def test_exactly_once_and_identity(spark, rows):
     assert rows(dedup.exactly_once(df, "id", "x", "y"), "id") == [(1,), (2,), (4,), (5,)]
 
 
-def test_bloom_has_no_false_negatives():
-    import numpy as np
-
-    rnd = np.random.default_rng(1)
-    h = rnd.integers(-(2**63), 2**63 - 1, 5000)
-    h[4000:] = h[:1000]
-    bucket = rnd.integers(0, 64, 5000)
-    maybe, mask = dedup.possible_repeats(h, bucket)
-    assert set(range(1000)) | set(range(4000, 5000)) <= set(maybe.tolist())
-    assert len(maybe) < 3000
-    where = dict(zip(maybe.tolist(), mask.tolist()))
-    assert all(where[i] >> int(bucket[i + 4000]) & 1 for i in range(1000))
-
-
 def test_trees_from_json(spark, rows):
     node = lambda i, **k: {"id": i, "fractional_index": "80", **k}
     states = [
